@@ -1,8 +1,8 @@
 """The registered queries and the SQL they are checked against."""
 
-from . import reports
+from . import pages, reports, series
 
-MODULES = [reports]
+MODULES = [reports, pages, series]
 
 
 def queries() -> dict:

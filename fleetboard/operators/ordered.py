@@ -139,6 +139,19 @@ class Ordered:
         joined = match_keys(inside, carry, [*self.keys, _RANGE], "inner")
         return self._next(joined.withColumn(name, F.coalesce(name, "_carried")), "_carried")
 
+    def first_known(self, name: str, value: Column) -> Ordered:
+        """The first non-NULL ``value`` of the key up to each row."""
+        w = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = self.df.withColumn(name, F.first(value, ignorenulls=True).over(w))
+        if not self.split:
+            return self._next(inside)
+        edge = F.min_by(value, F.when(value.isNotNull(), F.col(_POS))).alias("_edge")
+        earlier = self._ranges().rowsBetween(Window.unboundedPreceding, -1)
+        carried = F.first("_edge", ignorenulls=True).over(earlier)
+        carry = self._carry([edge], {"_carried": carried})
+        joined = match_keys(inside, carry, [*self.keys, _RANGE], "inner")
+        return self._next(joined.withColumn(name, F.coalesce("_carried", name)), "_carried")
+
     def rows(self) -> DataFrame:
         return self.df.drop(_RANGE, _POS)
 

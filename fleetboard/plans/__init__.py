@@ -1,14 +1,19 @@
-from .dashboards import open_dashboard, run_dashboard, stacked_dashboard
+from .dashboards import kept, open_dashboard, run_dashboard, stacked_dashboard
+from .pages import metric_by_date, series_by_position, two_metrics
 from .payload import payload, payload_json
 from .reports import DASHBOARDS, find, run
 
 __all__ = [
     "DASHBOARDS",
     "find",
+    "kept",
+    "metric_by_date",
     "open_dashboard",
     "payload",
     "payload_json",
     "run",
     "run_dashboard",
+    "series_by_position",
     "stacked_dashboard",
+    "two_metrics",
 ]

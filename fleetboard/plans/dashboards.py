@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,17 @@ def run_dashboard(
     }
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` stored while in use, for a result that feeds several outputs.  What
+    does not fit in memory goes to disk; a lost executor's part is recomputed."""
+    stored = df.persist()
+    try:
+        yield stored
+    finally:
+        stored.unpersist()
+
+
 @contextmanager
 def open_dashboard(
     dashboard: str,
@@ -42,28 +55,21 @@ def open_dashboard(
     reads just its two or three columns from the files, which costs less than
     storing the whole fact.
     """
+    if dashboard not in DASHBOARDS:
+        raise ValueError(f"unknown dashboard: {dashboard}")
     if persist is None:
         persist = bool(as_day(start) or as_day(end))
     if not persist:
         yield run_dashboard(dashboard, tables, start, end)
         return
     trip = tables.trip
+    dated = all(report.dated for report in DASHBOARDS[dashboard].values())
     bounds = [day_clauses(trip, c, start, end) for c in ("departure", "datecancelled")]
-    if all(bounds):
-        either = [_and(clauses) for clauses in bounds]
+    if dated and all(bounds):
+        either = [reduce(and_, clauses) for clauses in bounds]
         trip = trip.filter(either[0] | either[1])
-    kept = trip.persist()
-    try:
-        yield run_dashboard(dashboard, Tables(kept, tables.boat, tables.driver), start, end)
-    finally:
-        kept.unpersist()
-
-
-def _and(clauses):
-    out = F.lit(True)
-    for clause in clauses:
-        out = out & clause
-    return out
+    with kept(trip) as stored:
+        yield run_dashboard(dashboard, Tables(stored, tables.boat, tables.driver), start, end)
 
 
 def stacked_dashboard(
@@ -75,9 +81,7 @@ def stacked_dashboard(
     """
     parts = []
     for key, report in DASHBOARDS[dashboard].items():
-        frame = report.build(tables, start, end)
-        if report.limit is not None:
-            frame = frame.orderBy(*report.order()).limit(report.limit)
+        frame = report.limited(tables, start, end)
         for column, (name, _) in report.series.items():
             parts.append(
                 frame.select(
@@ -87,7 +91,4 @@ def stacked_dashboard(
                     F.col(column).cast("double").alias("value"),
                 )
             )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)

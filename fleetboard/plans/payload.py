@@ -60,7 +60,7 @@ def payload(
     report = find(key, dashboard)
     # The report is small next to the trips but is used twice below (sized, then
     # cut), so it is computed once.
-    result = checkpoint(_limited(report, tables, start, end))
+    result = checkpoint(report.limited(tables, start, end))
     if "is_total" not in report.extra:
         chunks = _chunks(result, report.order(), chunk, group_rows)
         return chunks.select("chunk", _field("label").alias("labels"), *_series(report, dashboard))
@@ -79,11 +79,6 @@ def payload(
     )
 
 
-def _limited(report: Report, tables: Tables, start: Day, end: Day) -> DataFrame:
-    built = report.build(tables, start, end)
-    return built if report.limit is None else built.orderBy(*report.order()).limit(report.limit)
-
-
 def _series(report: Report, dashboard: str) -> list[Column]:
     if dashboard != "fleet":
         return [_field("value").alias("data")]
@@ -91,7 +86,7 @@ def _series(report: Report, dashboard: str) -> list[Column]:
         F.struct(
             F.lit(name).cast("string").alias("label"),
             F.lit(kind).cast("string").alias("type"),
-            F.transform("points", lambda p, c=column: p[c].cast("double")).alias("data"),
+            _field(column).cast("array<double>").alias("data"),
         )
         for column, (name, kind) in report.series.items()
     ]

@@ -9,7 +9,7 @@ builder with parameters.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -48,7 +48,8 @@ UNKNOWN = "Unknown"
 
 @dataclass(frozen=True)
 class Report:
-    """``series`` gives each value column its shown name and chart type."""
+    """``series`` gives each value column its shown name and chart type.  A report
+    that is not ``dated`` always covers all trips."""
 
     build: Callable[[Tables, Day, Day], DataFrame]
     order: Callable[[], list[Column]]
@@ -57,13 +58,20 @@ class Report:
     )
     limit: int | None = None
     extra: tuple[str, ...] = ()
+    dated: bool = True
 
     @property
     def columns(self) -> list[str]:
         return ["label", *self.series, *self.extra]
 
+    def limited(self, tables: Tables, start: Day = None, end: Day = None) -> DataFrame:
+        """The report's rows with its sort keys, sorted only where a limit needs it."""
+        rows = self.build(tables, start, end) if self.dated else self.build(tables, None, None)
+        return rows if self.limit is None else rel.top_k(rows, self.order(), self.limit)
+
     def ordered(self, tables: Tables, start: Day = None, end: Day = None) -> DataFrame:
-        return rel.top_k(self.build(tables, start, end), self.order(), self.limit)
+        rows = self.limited(tables, start, end)
+        return rows if self.limit is not None else rows.orderBy(*self.order())
 
 
 def _by(*columns: str) -> Callable[[], list[Column]]:
@@ -330,30 +338,26 @@ ACTIVITY = {
 }
 
 
-def _undated(build: Callable[..., DataFrame], **params) -> Callable[[Tables, Day, Day], DataFrame]:
-    """A report of the undated dashboard: always over all trips."""
-    return lambda t, start, end: build(t, None, None, **params)
-
-
-OVERVIEW = {
+_OVERVIEW = {
     "trips_per_boat": Report(
-        _undated(trips_per_boat, real_only=True), _by("-value", "boatid"), limit=10
+        partial(trips_per_boat, real_only=True), _by("-value", "boatid"), limit=10
     ),
-    "monthly_revenue": Report(_undated(monthly_revenue, dated_only=True), _by("label")),
-    "revenue_by_size": Report(_undated(revenue_by_size, known_only=True), _in_order(SIZE_ORDER)),
-    "paid_unpaid": Report(_undated(_PAID), _in_order(PAID_LABELS)),
-    "boat_availability": Report(_undated(boat_availability), _in_order(AVAILABILITY_LABELS)),
-    "boat_size_distribution": Report(_undated(boats_per_size), _in_order(SIZE_ORDER)),
+    "monthly_revenue": Report(partial(monthly_revenue, dated_only=True), _by("label")),
+    "revenue_by_size": Report(partial(revenue_by_size, known_only=True), _in_order(SIZE_ORDER)),
+    "paid_unpaid": Report(_PAID, _in_order(PAID_LABELS)),
+    "boat_availability": Report(boat_availability, _in_order(AVAILABILITY_LABELS)),
+    "boat_size_distribution": Report(boats_per_size, _in_order(SIZE_ORDER)),
     "top_drivers": Report(
-        _undated(trips_per_driver, real_only=True), _by("-value", "driverid"), limit=10
+        partial(trips_per_driver, real_only=True), _by("-value", "driverid"), limit=10
     ),
-    "trips_by_status": Report(_undated(trips_by_status), _by("-value", "status")),
-    "avg_speed_by_size": Report(_undated(speed_by_size), _in_order(SIZE_ORDER)),
+    "trips_by_status": Report(trips_by_status, _by("-value", "status")),
+    "avg_speed_by_size": Report(speed_by_size, _in_order(SIZE_ORDER)),
     "safety_compliance": Report(
-        _undated(safety, checks=REAL_TRIP_CHECKS, real_only=True),
+        partial(safety, checks=REAL_TRIP_CHECKS, real_only=True),
         _in_order(tuple(REAL_TRIP_CHECKS.values())),
     ),
 }
+OVERVIEW = {key: replace(report, dated=False) for key, report in _OVERVIEW.items()}
 
 DASHBOARDS: dict[str, dict[str, Report]] = {
     "fleet": FLEET,

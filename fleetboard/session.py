@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +59,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{checkpoint_dir(spark)}/work/{uuid.uuid4().hex}/{name}"

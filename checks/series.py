@@ -108,9 +108,10 @@ w(series, c, pick) as (
     {{'a': abs((w.pick.x - q.nx) * (q.y - w.pick.y) - (w.pick.x - q.x) * (q.ny - w.pick.y)),
        'i': -q.i}})
   from w join q on q.series = w.series and q.c = w.c + 1 group by q.series, q.c)
-select series, pick.x as x, pick.y as y, pick.id as id from w
+select w.series, pick.x as x, pick.y as y, pick.id as id
+from w join s on w.series = s.series where s.n > {4 * WIDTH}
 union all
-select series, x, y, id from p where i = n - 1""")
+select series, x, y, id from p where n <= {4 * WIDTH} or i = n - 1""")
 def lttb_decimate(spark, folder):
     return S.lttb_decimate(event_points(spark, folder), WIDTH)
 

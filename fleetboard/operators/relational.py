@@ -10,12 +10,16 @@ is left to the optimizer, which checks sizes against
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetboard.functions import percent
 
+# The low parts of 2**43 rows fit a long.
+_LOW_BITS = 20
+
 
 def per_key(df: DataFrame, key: str, *aggs: Column) -> DataFrame:
     """One row per key, added up inside each partition before the shuffle, so a
@@ -23,6 +27,26 @@ def per_key(df: DataFrame, key: str, *aggs: Column) -> DataFrame:
     return df.groupBy(key).agg(*aggs)
 
 
+def sum_exact(df: DataFrame, keys: Sequence[str | Column], amount: str, name: str) -> DataFrame:
+    """Exact sum of a decimal column (up to 18 digits) per key.
+
+    A decimal sum adds big numbers object by object.  Here the amount is counted
+    in its smallest unit and cut into two whole numbers of which neither sum can
+    overflow, so the adding up is plain long arithmetic; they are put together
+    once per key.
+    """
+    dtype = df.schema[amount].dataType
+    unit = 10**dtype.scale
+    whole = (F.col(amount) * unit).cast("bigint")
+    parts = df.groupBy(*keys).agg(
+        F.sum(F.shiftright(whole, _LOW_BITS)).alias("_high"),
+        F.sum(whole.bitwiseAND(F.lit(2**_LOW_BITS - 1).cast("bigint"))).alias("_low"),
+    )
+    high, low = (F.col(c).cast("decimal(20,0)") for c in ("_high", "_low"))
+    total = (high * 2**_LOW_BITS + low) * F.lit(Decimal(1).scaleb(-dtype.scale))
+    return parts.withColumn(name, total).drop("_high", "_low")
+
+
 def with_dimension(facts: DataFrame, dimension: DataFrame, key: str, *columns: str) -> DataFrame:
     """Inner equi-join of per-key facts to the columns asked for."""
     return facts.join(dimension.select(key, *columns), key, "inner")

@@ -101,7 +101,7 @@ def monthly_revenue(t: Tables, start: Day, end: Day, dated_only: bool = False) -
         trips = trips.filter(F.col("departure").isNotNull())
     # Grouped by a date, which is an int inside; the text is made once per month.
     month = F.trunc(F.to_date("departure"), "MM").alias("month")
-    totals = trips.groupBy(month).agg(F.sum("boatamount").alias("total"))
+    totals = rel.sum_exact(trips, [month], "boatamount", "total")
     return totals.select(month_label(F.col("month")).alias("label"), _money("total").alias("value"))
 
 
@@ -111,7 +111,7 @@ def revenue_by_size(t: Tables, start: Day, end: Day, known_only: bool = False) -
     trips = date_range(t.trip, "departure", start, end)
     if known_only:
         trips = trips.filter(F.col("boatamount").isNotNull())
-    per_boat = rel.per_key(trips, "boatid", F.sum("boatamount").alias("amount"))
+    per_boat = rel.sum_exact(trips, ["boatid"], "boatamount", "amount")
     sized = rel.with_dimension(per_boat, t.boat, "boatid", "boatsize")
     totals = sized.groupBy(F.col("boatsize").alias("label")).agg(F.sum("amount").alias("total"))
     return totals.withColumn("value", _money("total"))
@@ -119,9 +119,8 @@ def revenue_by_size(t: Tables, start: Day, end: Day, known_only: bool = False) -
 
 def revenue_by_tour_type(t: Tables, start: Day, end: Day) -> DataFrame:
     trips = date_range(t.trip, "departure", start, end).filter(F.col("islandtourtype") != "")
-    totals = trips.groupBy(F.col("islandtourtype").alias("label")).agg(
-        F.sum("boatamount").alias("total")
-    )
+    kind = F.col("islandtourtype").alias("label")
+    totals = rel.sum_exact(trips, [kind], "boatamount", "total")
     return totals.withColumn("value", _money("total"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fleetboard.session import checkpoint
 
-GROUP_ROWS = 5_000_000
+GROUP_ROWS = 1_000_000
 
 _RANGE = "_range"
 _POS = "_pos"

@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetboard.session import checkpoint
+
 from ..ordered import GROUP_ROWS, attach, in_order, match_keys
-from .triangle import COLUMNS, choose, hulls
+from .triangle import COLUMNS, choose, hulls, hulls_and_sums
 
 
 def min_max_decimate(points: DataFrame, width: int, threshold: int | None = None) -> DataFrame:
@@ -117,38 +119,51 @@ def lttb_decimate(
     placed = in_order(points, ["series"], ["x", "id"], group_rows).number("_i").rows()
     placed = attach(placed, sizes, ["series"])
 
+    # Bucket -2 is a series kept whole, -1 a first point, samples - 1 a last point.
     i, n = F.col("_i"), F.col("_n")
-    is_end = (i == 0) | (i == n - 1)
-    kept = placed.filter((n <= limit) | is_end).select(*COLUMNS)
-    if samples <= 2:
-        return kept
-    rate = (n - 2) / F.lit(float(samples - 2))
-    bucket = F.when(i == 0, F.lit(-1)).otherwise(_bucket(i, rate)).cast("int")
-    placed = placed.filter(n > limit).select(*COLUMNS, bucket.alias("bucket"), is_end.alias("_end"))
-
-    # The mean of bucket b + 1 is what bucket b looks ahead to; the last bucket,
-    # which is the last point, is only looked at.
+    inner = max(samples - 2, 0)
+    rate = (n - 2) / F.lit(float(max(inner, 1)))
+    bucket = (
+        F.when(n <= limit, -2)
+        .when(i == 0, -1)
+        .when(i == n - 1, samples - 1)
+        .otherwise(_bucket(i, rate) if inner else F.lit(None))
+    )
+    placed = placed.select(*COLUMNS, bucket.cast("int").alias("bucket"))
+    if not inner:
+        return placed.filter("bucket is not null").select(*COLUMNS)
+
+    # One pass over the points.  What it leaves is small and used three times, so
+    # it is written down.
+    sums = "sx double, sy double, n bigint"
+    reduced = T.StructType(placed.schema.fields + T.StructType.fromDDL(sums).fields)
+    left = checkpoint(placed.mapInArrow(hulls_and_sums(inner - 1), reduced))
+    here = F.col("bucket")
+    points = left.filter(F.col("n").isNull()).select(*COLUMNS, "bucket")
+    kept = points.filter((here < 0) | (here == samples - 1)).select(*COLUMNS)
+
+    # The mean of bucket b + 1 is what bucket b looks ahead to; the last point is
+    # a bucket that is only looked at.
     means = (
-        placed.filter(F.col("bucket") >= 1)
-        .groupBy("series", "bucket")
-        .agg(F.avg("x").alias("nx"), F.avg("y").alias("ny"))
-        .withColumn("bucket", F.col("bucket") - 1)
+        left.filter(F.col("n").isNotNull() & (here >= 1))
+        .groupBy("series", (F.least(here, F.lit(inner)) - 1).alias("bucket"))
+        .agg(
+            (F.sum("sx") / F.sum("n")).alias("nx"),
+            (F.sum("sy") / F.sum("n")).alias("ny"),
+        )
     )
-    inner = placed.filter((F.col("bucket") <= samples - 3) & ((F.col("bucket") == -1) | ~F.col("_end")))
-    inner = inner.drop("_end")
-    corners = inner.mapInArrow(hulls, inner.schema)
     # Once more with the corners of a bucket brought together.
+    corners = points.filter((here >= 0) & (here < inner))
     corners = (
         corners.repartition("series", "bucket")
         .sortWithinPartitions("series", "bucket", "x", "id")
-        .mapInArrow(hulls, inner.schema)
+        .mapInArrow(hulls, corners.schema)
     )
-    ahead = match_keys(corners, means, ["series", "bucket"], "left")
-    out = T.StructType([points.schema[c] for c in COLUMNS])
+    chain = points.filter(here == -1).unionByName(corners)
+    ahead = match_keys(chain, means, ["series", "bucket"], "left")
     chosen = (
         ahead.repartition("series")
         .sortWithinPartitions("series", "bucket", "x", "id")
-        .mapInArrow(choose, out)
+        .mapInArrow(choose, T.StructType([points.schema[c] for c in COLUMNS]))
     )
     return kept.unionByName(chosen)
-

@@ -47,15 +47,10 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def hull_corners(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows of a batch that can be chosen: per (series, bucket) the hull corners
-    and the first row, which wins when all triangles are empty."""
-    codes = _codes(batch["series"])
-    bucket, xs, ys, ids = (batch[c].to_numpy() for c in ("bucket", "x", "y", "id"))
-    order = np.lexsort((ids, xs, bucket, codes))
-    xs, ys = xs[order], ys[order]
-    keep = _changes(codes[order], bucket[order])
-    group = np.cumsum(keep)
+def _corners(group: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Which rows can be chosen: per group the hull corners, and the first row,
+    which wins when all triangles are empty.  Rows come sorted by group and x."""
+    keep = _changes(group)
     rel = (xs - xs.min()).astype("float64")
     for sign in (1.0, -1.0):
         side = sign * ys
@@ -63,13 +58,59 @@ def hull_corners(batch: pa.RecordBatch) -> pa.RecordBatch:
         outer = np.lexsort((np.arange(len(xs)), -side, xs, group))
         outer = outer[_changes(group[outer], xs[outer])]
         keep[outer[_chain(rel[outer], side[outer], group[outer])]] = True
-    return batch.take(pa.array(order[keep]))
+    return keep
+
+
+def _sorted(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The batch by series, bucket, x, id, and a number per (series, bucket)."""
+    codes = _codes(batch["series"])
+    bucket, xs, ids = (batch[c].to_numpy() for c in ("bucket", "x", "id"))
+    order = np.lexsort((ids, xs, bucket, codes))
+    return batch.take(pa.array(order)), np.cumsum(_changes(codes[order], bucket[order]))
 
 
 def hulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Only the corner rows."""
     for batch in batches:
         if batch.num_rows:
-            yield hull_corners(batch)
+            batch, group = _sorted(batch)
+            keep = _corners(group, batch["x"].to_numpy(), batch["y"].to_numpy())
+            yield batch.filter(pa.array(keep))
+
+
+def hulls_and_sums(last: int):
+    """Corner rows of buckets 0 to ``last`` with all rows of other buckets, and
+    one row of sums (``n`` set, point columns NULL) per bucket from 0 on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch, group = _sorted(batch)
+            bucket, xs, ys = (batch[c].to_numpy() for c in ("bucket", "x", "y"))
+            keep = _corners(group, xs, ys) | (bucket < 0) | (bucket > last)
+            starts = np.flatnonzero(_changes(group))
+            counts = np.diff([*starts, len(group)])
+            inner = bucket[starts] >= 0
+            sums = {
+                "sx": pa.array(np.add.reduceat(xs.astype("float64"), starts)[inner]),
+                "sy": pa.array(np.add.reduceat(ys, starts)[inner]),
+                "n": pa.array(counts[inner].astype("int64")),
+            }
+            points = batch.filter(pa.array(keep))
+            heads = batch.take(pa.array(starts[inner]))
+            of_points = {c: points[c] for c in points.schema.names}
+            of_sums = {
+                c: heads[c] if c in ("series", "bucket") else pa.nulls(len(heads), heads[c].type)
+                for c in heads.schema.names
+            }
+            for name, column in sums.items():
+                of_points[name] = pa.nulls(points.num_rows, column.type)
+                of_sums[name] = column
+            yield pa.RecordBatch.from_pydict(of_points)
+            yield pa.RecordBatch.from_pydict(of_sums)
+
+    return run
 
 
 def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

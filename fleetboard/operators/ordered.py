@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from fleetboard.session import checkpoint
 
 GROUP_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000  # of a few numbers each, some megabytes
 
 _RANGE = "_range"
 _POS = "_pos"
@@ -29,21 +30,27 @@ _POS = "_pos"
 
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join in which a NULL key matches NULL; keys are kept once."""
-    if not keys:
-        return left.crossJoin(right)  # right is one row of totals
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     cond = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add per-key values to every row.
+def attach(
+    df: DataFrame, per_key: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Add per-key values to every row, without a window over the rows.
 
-    No window and no forced broadcast: the optimizer broadcasts ``per_key`` when
-    its size allows, and otherwise its skew handling cuts the rows of a hot key
-    into pieces that each meet the one matching row.
+    ``per_key`` has one row per key and is usually tiny, but a planner that only
+    sees an aggregate over everything would shuffle all rows to meet it.  So it
+    is computed first and counted: up to ``limit`` rows it is broadcast and the
+    rows stay where they are; beyond, the rows are shuffled by key, and skew
+    handling cuts a hot key into pieces that each meet its one row.
     """
-    return match_keys(df, per_key, keys, "inner")
+    if not keys:
+        return df.withColumns({c: F.lit(v) for c, v in per_key.first().asDict().items()})
+    ready = checkpoint(per_key)
+    small = ready.limit(limit + 1).count() <= limit
+    return match_keys(df, F.broadcast(ready) if small else ready, keys, "inner")
 
 
 @dataclass(frozen=True)
@@ -83,7 +90,7 @@ class Ordered:
             [F.count("*").alias("_n"), F.min(_POS).alias("_first")],
             {"_base": F.coalesce(before, F.lit(0)) - F.col("_first")},
         )
-        joined = match_keys(self.df, offsets, [*self.keys, _RANGE], "inner")
+        joined = attach(self.df, offsets, [*self.keys, _RANGE])
         return self._next(joined.withColumn(name, F.col(_POS) + F.col("_base")), "_base")
 
     def neighbour(self, names: Mapping[str, str], back: bool = True) -> Ordered:
@@ -98,7 +105,7 @@ class Ordered:
         edge = (F.max_by if back else F.min_by)(row, F.col(_POS)).alias("_edge")
         carry = self._carry([edge], {"_carried": step("_edge").over(self._ranges())})
         inside = self.df.withColumn("_inside", step(row).over(w))
-        joined = match_keys(inside, carry, [*self.keys, _RANGE], "inner")
+        joined = attach(inside, carry, [*self.keys, _RANGE])
         # _inside is NULL only for the row at the edge of its range.
         found = F.coalesce("_inside", "_carried")
         return self._next(
@@ -113,7 +120,7 @@ class Ordered:
         before = F.sum("_s").over(self._ranges().rowsBetween(Window.unboundedPreceding, -1))
         carry = self._carry([F.sum(value).alias("_s")], {"_before": before})
         inside = self.df.withColumn(name, F.sum(value).over(w))
-        joined = match_keys(inside, carry, [*self.keys, _RANGE], "inner")
+        joined = attach(inside, carry, [*self.keys, _RANGE])
         total = (
             F.when(F.col("_before").isNull(), F.col(name))
             .when(F.col(name).isNull(), F.col("_before"))
@@ -136,7 +143,7 @@ class Ordered:
         carried = pick("_edge", ignorenulls=True).over(self._ranges().rowsBetween(*span))
         carry = self._carry([edge], {"_carried": carried})
         inside = self.df.withColumn(name, pick(value, ignorenulls=True).over(w))
-        joined = match_keys(inside, carry, [*self.keys, _RANGE], "inner")
+        joined = attach(inside, carry, [*self.keys, _RANGE])
         return self._next(joined.withColumn(name, F.coalesce(name, "_carried")), "_carried")
 
     def first_known(self, name: str, value: Column) -> Ordered:
@@ -149,7 +156,7 @@ class Ordered:
         earlier = self._ranges().rowsBetween(Window.unboundedPreceding, -1)
         carried = F.first("_edge", ignorenulls=True).over(earlier)
         carry = self._carry([edge], {"_carried": carried})
-        joined = match_keys(inside, carry, [*self.keys, _RANGE], "inner")
+        joined = attach(inside, carry, [*self.keys, _RANGE])
         return self._next(joined.withColumn(name, F.coalesce("_carried", name)), "_carried")
 
     def rows(self) -> DataFrame:

@@ -31,19 +31,19 @@ def label_positions(
     most the last place.  NULL has no position.
     """
     listed = labels.groupBy("label").agg(F.min("i").alias("_at"), F.count("*").alias("_n"))
-    size = labels.agg(F.count("*").alias("_size"))  # one row
+    size = labels.count()
     # From here on labels are one row each, so a label that most points share
     # meets one row in the join below.
     firsts = points.groupBy("label").agg(F.min("i").alias("i"))
     new = firsts.join(listed, "label", "left_anti")
     if isinstance(points.schema["label"].dataType, T.NumericType):
-        added = new.crossJoin(size).select(
-            "label", (F.col("_size") - 1).alias("_at"), F.lit(0).cast("bigint").alias("_n")
-        )
+        at, listings = F.lit(size - 1), 0
     else:
-        added = label_index(new, "label", "i", group_rows).crossJoin(size).select(
-            "label", (F.col("index") + F.col("_size")).alias("_at"), F.lit(1).cast("bigint").alias("_n")
-        )
+        new = label_index(new, "label", "i", group_rows)
+        at, listings = F.col("index") + size, 1
+    added = new.select(
+        "label", at.cast("bigint").alias("_at"), F.lit(listings).cast("bigint").alias("_n")
+    )
     places = listed.unionByName(added)
     position = (
         F.when(F.col("_n") > 1, F.col("i"))

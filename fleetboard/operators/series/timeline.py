@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetboard.session import checkpoint
+
 from ..ordered import GROUP_ROWS, attach, in_order, match_keys
 
 MAX_STEPS = 100_000  # fixed value: more steps than this between ends is an error
@@ -78,7 +80,8 @@ def calendar_fill(
 
 
 def _ranked(df: DataFrame, keys: Sequence[str], group_rows: int) -> DataFrame:
-    times = df.select(*keys, "x").filter(F.col("x").isNotNull()).distinct()
+    # Counted, cut and numbered below; worked out once.
+    times = checkpoint(df.select(*keys, "x").filter(F.col("x").isNotNull()).distinct())
     sizes = times.groupBy(*keys).agg(F.count("*").alias("_n"))
     placed = in_order(times, keys, ["x"], group_rows).number("_i").rows()
     return attach(placed, sizes, keys)
@@ -129,6 +132,6 @@ def smallest_step(
     df: DataFrame, keys: Sequence[str] = (), group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """The smallest gap between consecutive distinct x; NULL for a single x."""
-    distinct = df.select(*keys, "x").filter(F.col("x").isNotNull()).distinct()
+    distinct = checkpoint(df.select(*keys, "x").filter(F.col("x").isNotNull()).distinct())
     stepped = in_order(distinct, keys, ["x"], group_rows).neighbour({"_px": "x"}).rows()
     return stepped.groupBy(*keys).agg(F.min(F.col("x") - F.col("_px")).alias("step"))

@@ -65,17 +65,14 @@ def payload(
         chunks = _chunks(result, report.order(), chunk, group_rows)
         return chunks.select("chunk", _field("label").alias("labels"), *_series(report, dashboard))
     days = result.filter(~F.col("is_total"))
-    total = result.filter("is_total").select(
-        F.col("value").alias("overall_avg"), F.col("trip_count")
-    )
+    total = result.filter("is_total").first()  # one row by construction
     chunks = _chunks(days, report.order(), chunk, group_rows)
-    # The total is one row by construction.
-    return chunks.crossJoin(total).select(
+    return chunks.select(
         "chunk",
         _field("label").alias("labels"),
         *_series(report, dashboard),
-        "overall_avg",
-        "trip_count",
+        F.lit(total["value"]).alias("overall_avg"),
+        F.lit(total["trip_count"]).cast("bigint").alias("trip_count"),
     )
 
 

@@ -47,7 +47,9 @@ def attach(
     handling cuts a hot key into pieces that each meet its one row.
     """
     if not keys:
-        return df.withColumns({c: F.lit(v) for c, v in per_key.first().asDict().items()})
+        one = per_key.first()
+        types = {f.name: f.dataType for f in per_key.schema.fields}
+        return df.withColumns({c: F.lit(one[c]).cast(t) for c, t in types.items()})
     ready = checkpoint(per_key)
     small = ready.limit(limit + 1).count() <= limit
     return match_keys(df, F.broadcast(ready) if small else ready, keys, "inner")

@@ -114,13 +114,17 @@ def time_positions(
     both = in_order(known.unionByName(asked), keys, ["x", "_ask"], group_rows)
     found = both.last_known("_below", here).last_known("_above", here, back=False).rows()
     ends = known.groupBy(*keys).agg(
-        F.min(F.struct("x", "position")).alias("_head"),
-        F.max(F.struct("x", "position")).alias("_tail"),
+        F.min("x").alias("_x0"),
+        F.max("x").alias("_x1"),
+        F.min("position").alias("_p0"),
+        F.max("position").alias("_p1"),
     )
     rows = attach(found.filter(F.col("_ask") == 1).drop("position"), ends, keys)
     outside = F.col("_below").isNull() | F.col("_above").isNull()
-    lo = F.when(outside, F.col("_head")).otherwise(F.col("_below"))
-    hi = F.when(outside, F.col("_tail")).otherwise(F.col("_above"))
+    head = F.struct(F.col("_x0").alias("x"), F.col("_p0").alias("position"))
+    tail = F.struct(F.col("_x1").alias("x"), F.col("_p1").alias("position"))
+    lo = F.when(outside, head).otherwise(F.col("_below"))
+    hi = F.when(outside, tail).otherwise(F.col("_above"))
     rows = rows.select(*keys, "x", lo.alias("lo"), hi.alias("hi"))
     part = F.try_divide((F.col("x") - F.col("lo.x")).cast("double"), F.col("hi.x") - F.col("lo.x"))
     rise = F.col("hi.position") - F.col("lo.position")

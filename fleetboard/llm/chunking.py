@@ -1,6 +1,6 @@
 """Document fingerprints by content-defined chunking.
 
-A gear hash over the last 32 bytes decides where a text is cut.  Cuts are
+A gear hash over the last 16 bytes decides where a text is cut.  Cuts are
 normalised: before the normal size a cut needs more zero bits than after it, so
 sizes crowd round the normal one.  A fingerprint is the set of chunk digests,
 each with its length; what two of them share, weighed by length, measures how
@@ -24,34 +24,35 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 
-MIN, NORMAL, MAX = 16, 64, 256  # bytes
-HARD, EASY = 7, 5  # zero bits asked for before and after the normal size
-_GEAR = (K.BYTE_CODES >> np.uint64(32)).astype(np.uint32)
+MIN, NORMAL, MAX = 8, 32, 128  # bytes
+HARD, EASY = 6, 4  # zero bits asked for before and after the normal size
+_WINDOW = 16  # the bits of the hash: a byte has left it after so many shifts
+_GEAR = (K.BYTE_CODES >> np.uint64(48)).astype(np.uint16)
 
 
 def _gear(data: np.ndarray) -> np.ndarray:
-    """The hash at every byte: sum of code(b[i-k]) << k for k below 32."""
+    """The hash at every byte: sum of code(b[i-k]) << k for k below 16."""
     h = _GEAR[data]
-    for step in (1, 2, 4, 8, 16):
+    for step in (1, 2, 4, 8):
         if len(h) > step:
-            shifted = h[:-step] << np.uint32(step)
+            shifted = h[:-step] << np.uint16(step)
             h = np.concatenate((h[:step], h[step:] + shifted))
     return h
 
 
 def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chunk starts, ends, and each text's first chunk.  Cuts fall between code
-    points.  The hash at a text's first 31 bytes also covers the text before it,
+    points.  The hash at a text's first bytes also covers the text before it,
     so those places are hashed again on their own."""
     h = _gear(data)
     for a, b in zip(offs[:-1], offs[1:], strict=True):
         if a and b > a:
-            h[a : min(a + 31, b)] = _gear(data[a : min(a + 31, b)])
+            h[a : min(a + _WINDOW, b)] = _gear(data[a : min(a + _WINDOW, b)])
     whole = np.ones(len(data) + 1, dtype=bool)  # a code point begins here
     whole[:-1] = (data & 0xC0) != 0x80
-    top = h >> np.uint32(32 - EASY)
+    top = h >> np.uint16(_WINDOW - EASY)
     easy = np.flatnonzero((top == 0) & whole[1:]) + 1
-    hard = easy[(h[easy - 1] >> np.uint32(32 - HARD)) == 0].tolist()
+    hard = easy[(h[easy - 1] >> np.uint16(_WINDOW - HARD)) == 0].tolist()
     easy = easy.tolist()
     start, end, first = [], [], [0]
     n_hard, n_easy = len(hard), len(easy)
@@ -76,10 +77,10 @@ def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def fingerprints(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """Per text its set of chunks: 55 bits of digest over nine of length, sorted."""
+    """Per text its set of chunks: 56 bits of digest over eight of length, sorted."""
     start, end, first = chunks(data, offs)
     size = (end - start).astype(np.uint64)
-    packed = (K.Spans(data)(start, end) & ~np.uint64(511)) | size
+    packed = (K.Spans(data)(start, end) & ~np.uint64(255)) | size
     return [np.unique(packed[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
@@ -89,7 +90,7 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
         return float(not len(b))
     if not len(b):
         return 0.0
-    size = (a & np.uint64(511)).astype(np.int64)
+    size = (a & np.uint64(255)).astype(np.int64)
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
     return float(size[b[at] == a].sum() / size.sum())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, language, quality, ring
+from . import chunking, language, quality, ring, toxicity
 from .common import held_out, table
 
 
@@ -25,6 +25,17 @@ def op4_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document after deobfuscation."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lm = toxicity.language_model(toxicity.count_letters(docs))
+    lexicon = toxicity.learn(docs, labels, "toxic", ~held_out(4, 2), lm)
+    scored = toxicity.score(docs.select("doc_id", "text"), lexicon, lm)
+    return scored.select(
+        "doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by boosted trees over its statistics."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -41,5 +52,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {q.__name__: q for q in (op1_fingerprints, op4_ring, op8_quality, op10_language)}
+QUERIES = {q.__name__: q for q in (op1_fingerprints, op4_ring, op7_toxicity, op8_quality, op10_language)}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, language, quality, ring, toxicity
+from . import chunking, contamination, language, quality, ring, toxicity
 from .common import held_out, table
 
 
@@ -25,6 +25,29 @@ def op4_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents contain, by five-word shingles at 0.8."""
+    return contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+CONTAMINATION_SQL = r"""
+with w as (
+  select 'd' as side, doc_id as id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f\v]+'), lambda x: x <> '') as w
+  from documents
+  union all
+  select 'i', item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f\v]+'), lambda x: x <> '')
+  from benchmark),
+s as (
+  select distinct side, id, i as pos, array_to_string(w[i:i + 4], ' ') as sh
+  from (select side, id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from w where len(w) > 0)),
+u as (select distinct side, id, sh from s),
+n as (select id, count(*) as shingles from u where side = 'i' group by id)
+select d.id as doc_id, i.id as item_id, count(*) as shared, any_value(n.shingles) as shingles,
+  count(*) / any_value(n.shingles)::double as containment
+from u d join u i on d.sh = i.sh and d.side = 'd' and i.side = 'i' join n on n.id = i.id
+group by d.id, i.id having count(*) >= 0.8 * any_value(n.shingles)"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document after deobfuscation."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -52,5 +75,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {q.__name__: q for q in (op1_fingerprints, op4_ring, op7_toxicity, op8_quality, op10_language)}
-SQL: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (op1_fingerprints, op4_ring, op6_contamination, op7_toxicity, op8_quality, op10_language)}
+SQL: dict[str, str] = {"op6_contamination": CONTAMINATION_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, contamination, language, quality, ring, toxicity
+from . import chunking, contamination, language, lines, quality, ring, toxicity
 from .common import held_out, table
 
 
@@ -68,6 +68,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with only the earliest of equal and nearly equal lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "lines_kept", "lines_dropped", "text")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document by hyperdimensional profiles."""
     docs = table(spark, sf_dir, "documents")
@@ -75,5 +81,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {q.__name__: q for q in (op1_fingerprints, op4_ring, op6_contamination, op7_toxicity, op8_quality, op10_language)}
+QUERIES = {q.__name__: q for q in (op1_fingerprints, op4_ring, op6_contamination, op7_toxicity, op8_quality, op9_lines, op10_language)}
 SQL: dict[str, str] = {"op6_contamination": CONTAMINATION_SQL}

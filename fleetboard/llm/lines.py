@@ -9,7 +9,7 @@ Most lines have no such partner, and one key per character of everything would
 be a table larger than the text.  So blocks are left out before characters: at
 one edit all blocks but one are equal, and what has no partner with a half left
 out, and then with a sixteenth left out, cannot have one with a character left
-out.  That loses no pair.
+out; and the character is in the sixteenth that matched.  That loses no pair.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from .common import stored
 NEAR = 20  # characters a line needs for one edit to be a small change; shorter ones must be equal
 BLOCKS = 16
 BROADCAST_ROWS = 200_000  # documents with candidate lines, some 40 bytes each
+ROWS_OUT = 100_000  # keys that a task hands over at once
 _ID = ["_k1", "_k2"]
 
 
@@ -57,19 +58,33 @@ def block_keys(s: str, blocks: int) -> list[int]:
     return out
 
 
-def variant_keys(s: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(keys with the place of the character left out, keys without it, the key of
-    ``s`` as it is, to meet the latter)."""
+def variant_keys(s: str, blocks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of ``s`` with one character of the given blocks (places among its
+    ``block_keys``) left out, and their roles.
+
+    Role 0 knows its place and meets lines of equal length; role 1 is a longer
+    line less a character and meets role 2, a line as it is.
+    """
     points = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     n = len(points)
     fore, back = K._powers(n.bit_length())
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K.mix(points + np.uint64(1)) * fore[:n])))
     sizes = np.array([n - 1, n], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    left = sums[:-1] + (sums[-1] - sums[1:]) * back[1]
-    bare = K.mix(left + sizes[:1])
-    placed = K.mix(bare ^ (np.arange(1, n + 1, dtype=np.uint64) << np.uint64(20)))
+
+    def without(at: np.ndarray) -> np.ndarray:
+        return K.mix(sums[at] + (sums[-1] - sums[at + 1]) * back[1] + sizes[0])
+
+    same, longer = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    for q in blocks:
+        if q < BLOCKS:
+            same[q * n // BLOCKS : (q + 1) * n // BLOCKS] = True
+        else:
+            longer[(q - BLOCKS) * (n - 1) // BLOCKS : (q - BLOCKS + 1) * (n - 1) // BLOCKS + 1] = True
+    at, out = np.flatnonzero(same), np.flatnonzero(longer)
+    placed = K.mix(without(at) ^ ((at.astype(np.uint64) + np.uint64(1)) << np.uint64(20)))
     whole = K.mix(sums[-1:] + sizes[1:])
-    return placed, bare, int(whole[0])
+    keys = np.concatenate((placed, without(out), whole))
+    return keys.view(np.int64), np.repeat(np.array([0, 1, 2], dtype=np.int32), [len(at), len(out), 1])
 
 
 def within_one(a: str, b: str) -> bool:
@@ -119,34 +134,50 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _partnered(keyed: DataFrame) -> DataFrame:
-    """Ids of the lines that share one of their keys with another line."""
+    """The rows whose key another line has too."""
     shared = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_key")
-    return keyed.join(shared, "_key", "left_semi").select(*_ID).distinct()
+    return keyed.join(shared, "_key", "left_semi")
 
 
-def _per_line(df: DataFrame, make: Callable[[str], list], names: list[str], schema: str) -> DataFrame:
+def _per_line(df: DataFrame, given: list[str], make: Callable[..., tuple], names: list[str], schema: str) -> DataFrame:
     """Rows that ``make`` gives for the text of each line, after its id and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                made = make(batch.column("_line")[i].as_py())
-                n = len(made[0])
-                if n:
-                    first = [batch.column(c).slice(i, 1).take(pa.array(np.zeros(n, np.int64))) for c in base]
-                    yield pa.RecordBatch.from_arrays([*first, *(pa.array(m) for m in made)], [*base, *names])
+            inputs = zip(*(batch.column(c).to_pylist() for c in given), strict=True)
+            of: list[int] = []
+            sizes: list[int] = []
+            parts: list[list] = []
+
+            def made() -> pa.RecordBatch:
+                rows = pa.array(np.repeat(np.array(of, np.int64), sizes))
+                columns = [batch.column(c).take(rows) for c in base]
+                columns += [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
+                return pa.RecordBatch.from_arrays(columns, [*base, *names])
+
+            for i, values in enumerate(inputs):
+                parts.append(make(*values))
+                of.append(i)
+                sizes.append(len(parts[-1][0]))
+                if sum(sizes) > ROWS_OUT:
+                    yield made()
+                    of, sizes, parts = [], [], []
+            if parts:
+                yield made()
 
     base = ["_k1", "_k2", "_first"]
     fields = [f for f in df.schema.fields if f.name in base]
     order = {n: i for i, n in enumerate(base)}
     out = T.StructType(sorted(fields, key=lambda f: order[f.name]) + T._parse_datatype_string(schema).fields)
-    return df.select(*base, "_line").mapInArrow(run, out)
+        # Each row gives many: dealt out anew, so that a small table is not one task.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*base, *given).repartition(parts, *_ID).mapInArrow(run, out)
 
 
 def covered(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Ids of the distinct lines that have an earlier line within one edit."""
     keyed = distinct.where(F.size("_keys") > 0).select(*_ID, F.explode("_keys").alias("_key"))
-    met = distinct.select(*_ID, "_first").join(_partnered(keyed), _ID)
+    met = distinct.select(*_ID, "_first").join(_partnered(keyed).select(*_ID).distinct(), _ID)
     places = stored(
         met.groupBy(F.col("_first._doc").alias("_d"), F.col("_first._th").alias("_t")).agg(
             F.collect_list(F.struct("_k1", "_k2", "_first")).alias("_at")
@@ -170,17 +201,14 @@ def covered(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
     texts = hit.select("_text", "_at").mapInArrow(pick, fields).dropDuplicates(_ID)
     texts = stored(texts, "candidate_texts")
+    q = np.arange(2 * BLOCKS, dtype=np.int32)
     blocks = _per_line(
-        texts, lambda s: [np.array(block_keys(s, BLOCKS), dtype=np.uint64).view(np.int64)], ["_key"], "_key long"
-    )
-    texts = stored(texts.join(_partnered(blocks.select(*_ID, "_key")), _ID), "near_lines")
-
-    def variants(s: str) -> list:
-        placed, bare, whole = variant_keys(s)
-        role = np.repeat(np.array([0, 1, 2], dtype=np.int32), [len(placed), len(bare), 1])
-        return [np.concatenate((placed, bare, np.array([whole], np.uint64))).view(np.int64), role]
-
-    keys = _per_line(texts.select(*_ID, "_first", "_line"), variants, ["_key", "_role"], "_key long, _role int")
+        texts, ["_line"], lambda s: (np.array(block_keys(s, BLOCKS), dtype=np.uint64).view(np.int64), q),
+        ["_key", "_q"], "_key long, _q int",
+    )
+    near = _partnered(blocks.select(*_ID, "_key", "_q")).groupBy(*_ID).agg(F.collect_set("_q").alias("_qs"))
+    texts = stored(texts.join(near, _ID), "near_lines")
+    keys = _per_line(texts, ["_line", "_qs"], variant_keys, ["_key", "_role"], "_key long, _role int")
     # 0 meets 0; 1, a longer line less a character, meets 2, a shorter line.
     side = F.col("_role") == 2
     rep = F.struct("_first", "_k1", "_k2")

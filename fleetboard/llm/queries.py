@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, contamination, language, lines, quality, ring, toxicity
+from . import chunking, contamination, language, lines, near, quality, ring, toxicity
 from .common import held_out, table
 
 
@@ -14,6 +14,32 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy class and links of every document: five words, similarity 0.8."""
+    return near.near_classes(table(spark, sf_dir, "documents"))
+
+
+NEAR_SQL = r"""
+with recursive t as (
+  select coalesce(text, '') as text, min(doc_id) as first, count(*) as copies from documents group by 1),
+w as (
+  select first, list_filter(string_split_regex(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '') as w from t),
+s as (
+  select distinct first, array_to_string(w[i:i + 4], ' ') as sh
+  from (select first, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from w where len(w) > 0)),
+n as (select first, count(*) as n from s group by first),
+l as (
+  select a.first as a, b.first as b
+  from s a join s b on a.sh = b.sh and a.first <> b.first
+  join n x on x.first = a.first join n y on y.first = b.first
+  group by a.first, b.first having count(*) >= 0.8 * (any_value(x.n) + any_value(y.n) - count(*))),
+r as (select first as a, first as b from t union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as class_id from r group by a),
+k as (select a, count(*) as links from l group by a)
+select d.doc_id, c.class_id, coalesce(k.links, 0) as links, t.copies
+from documents d join t on t.text = coalesce(d.text, '') join c on c.a = t.first left join k on k.a = t.first"""
+
+
 def op4_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of a ring with bounded loads; law ``rows``."""
     docs = table(spark, sf_dir, "documents")
@@ -81,5 +107,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {q.__name__: q for q in (op1_fingerprints, op4_ring, op6_contamination, op7_toxicity, op8_quality, op9_lines, op10_language)}
-SQL: dict[str, str] = {"op6_contamination": CONTAMINATION_SQL}
+QUERIES = {q.__name__: q for q in (op1_fingerprints, op3_near, op4_ring, op6_contamination, op7_toxicity, op8_quality, op9_lines, op10_language)}
+SQL: dict[str, str] = {"op3_near": NEAR_SQL, "op6_contamination": CONTAMINATION_SQL}

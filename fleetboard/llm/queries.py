@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, contamination, language, lines, near, quality, ring, toxicity
+from . import chunking, contamination, language, lines, near, pieces, quality, ring, tokens, toxicity
 from .common import held_out, table
 
 
@@ -14,6 +14,15 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of every document, and the hash of what they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pieces.decode(pieces.encode(docs).drop("text"))
+    return rows.select(
+        "doc_id", F.size("pieces").alias("n_pieces"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "pieces"
+    )
+
+
 def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copy class and links of every document: five words, similarity 0.8."""
     return near.near_classes(table(spark, sf_dir, "documents"))
@@ -51,6 +60,23 @@ def op4_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after two edits of its text: near
+    a third of it a stretch is replaced by the text's start, in the middle one goes."""
+    n = F.length("text")
+    third, half = F.floor(n / 3), F.floor(n / 2)
+    edits = F.array(
+        F.struct(
+            third.cast("int").alias("start"), (third + F.floor(n / 16)).cast("int").alias("stop"),
+            F.substring("text", F.lit(1), F.floor(n / 32).cast("int")).alias("text"),
+        ),
+        F.struct(half.cast("int").alias("start"), (half + F.floor(n / 64)).cast("int").alias("stop"), F.lit("").alias("text")),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    rows = tokens.apply_edits(tokens.plant(docs))
+    return rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
+
+
 def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents contain, by five-word shingles at 0.8."""
     return contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -107,5 +133,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {q.__name__: q for q in (op1_fingerprints, op3_near, op4_ring, op6_contamination, op7_toxicity, op8_quality, op9_lines, op10_language)}
+QUERIES = {q.__name__: q for q in (op1_fingerprints, op2_pieces, op3_near, op4_ring, op5_tokens, op6_contamination, op7_toxicity, op8_quality, op9_lines, op10_language)}
 SQL: dict[str, str] = {"op3_near": NEAR_SQL, "op6_contamination": CONTAMINATION_SQL}

@@ -26,7 +26,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF = 32  # pre-tokens of a leaf
 CONTEXT = 2  # characters after its end that can decide where a pre-token ends
-KNOWN = 200_000  # pre-tokens whose counts a task remembers
+KNOWN = 400_000  # pre-tokens whose counts a task remembers
 
 
 class Encoder:

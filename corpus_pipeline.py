@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetboard.llm import contamination, lines, near, pieces, toxicity
-from fleetboard.llm.common import held_out, stored, table
+from fleetboard.llm.common import free, held_out, stored, table
 
 REJECT = 0.3  # toxicity score from which a document goes
 
@@ -23,9 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under ``REJECT``; NULL and empty texts stay."""
     lm = toxicity.language_model(toxicity.count_letters(docs))
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out(4, 2), lm)
-    name = "score"
-    while name in docs.columns:
-        name += "_"
+    name = free(docs, "score")
     return toxicity.score(docs, lexicon, lm, name).where(F.col(name) < REJECT).select(*docs.columns)
 
 
@@ -49,7 +47,7 @@ def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, pieces): every text as sampled pieces, which decode to it."""
     return pieces.encode(docs.select("doc_id", "text")).select(
-        "doc_id", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), "pieces"
+        "doc_id", F.when(F.col("pieces").isNull(), 0).otherwise(F.size("pieces")).alias("n_pieces"), "pieces"
     )
 
 

@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from fleetboard.session import checkpoint, work_path
 
-__all__ = ["bounded_sample", "checkpoint", "held_out", "id_crc", "stored", "table"]
+__all__ = ["bounded_sample", "checkpoint", "free", "held_out", "id_crc", "stored", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def free(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage is cut, and the planner
     knows the size, so it broadcasts only what is under the session's bound."""

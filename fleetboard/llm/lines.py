@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import stored
+from .common import free, stored
 
 NEAR = 20  # characters a line needs for one edit to be a small change; shorter ones must be equal
 BLOCKS = 16
@@ -267,14 +267,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         "distinct_lines",
     )
     gone = stored(covered(slim, distinct), "covered_lines")
+    key, doc, th, mine = (free(docs, n) for n in ("_th", "_kept_doc", "_kept_th", "_kept"))
     kept = (
         distinct.select(*_ID, "_first")
         .join(gone, _ID, "left_anti")
-        .groupBy(F.col("_first._doc").alias("_kd"), F.col("_first._th").alias("_kt"))
-        .agg(F.collect_list("_first._no").alias("_kept"))
+        .groupBy(F.col("_first._doc").alias(doc), F.col("_first._th").alias(th))
+        .agg(F.collect_list("_first._no").alias(mine))
     )
-    joined = docs.withColumn("_th", F.xxhash64("text")).join(
-        kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kd")) & (F.col("_th") == F.col("_kt")), "left"
+    joined = docs.withColumn(key, F.xxhash64("text")).join(
+        kept, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(th)), "left"
     )
     out = T.StructType(
         [*docs.schema.fields, T.StructField("lines_dropped", T.IntegerType()), T.StructField("lines_kept", T.IntegerType())]
@@ -283,7 +284,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sizes, dropped, left = [], [], [], []
-            for text, kept in zip(batch.column("text").to_pylist(), batch.column("_kept").to_pylist(), strict=True):
+            for text, kept in zip(batch.column("text").to_pylist(), batch.column(mine).to_pylist(), strict=True):
                 keep = set(kept or ())
                 lines = (text or "").split("\n")
                 blank = [not x.strip() for x in lines]
@@ -301,4 +302,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 [*columns, "lines_dropped", "lines_kept"],
             )
 
-    return joined.select(*names, "_kept").mapInArrow(rebuild, out)
+    return joined.select(*names, mine).mapInArrow(rebuild, out)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import stored
+from .common import free, stored
 from .graph import components
 
 WORDS = 5
@@ -194,7 +194,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     placed = stored(placed, "placed")
     texts = slim.join(placed, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
     # A document row that comes twice gives its class once.
-    texts = texts.select("_cluster", "_id", "_blocks", "_b", "_text")
+    texts = texts.select("_cluster", "_id", "_blocks", "_b", "_text").dropDuplicates(["_id"])
     sets = _shingle_sets(texts, words)
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     pairs = sets.select("_cluster", "_id", "_b", "_set", other.alias("_o")).select(
@@ -240,9 +240,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
         .select("_doc", "_th").distinct(),
         "near_copies",
     )
-    left = docs.withColumn("_t", F.xxhash64("text"))
-    kept = left.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("_th")), "left_anti")
+    key, doc, th = (free(docs, n) for n in ("_t", "_gone_doc", "_gone_th"))
+    gone = gone.toDF(doc, th)
+    left = docs.withColumn(key, F.xxhash64("text"))
+    kept = left.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(th)), "left_anti")
     again = found.rows.groupBy("_doc", "_th").count().where("count > 1").limit(1).count()
     if again:
-        kept = kept.dropDuplicates(["doc_id", "_t"])
-    return kept.drop("_t")
+        kept = kept.dropDuplicates(["doc_id", key])
+    return kept.drop(key)

@@ -224,10 +224,11 @@ def apply_edits(trees: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """Documents with their edits from a table (doc_id, seq, start, stop, text), in
+    """(doc_id, text, edits): documents with their edits from a table (doc_id, seq, start, stop, text), in
     the order of ``seq``."""
+    docs = docs.select("doc_id", "text")
     each = edits.groupBy(F.col("doc_id").alias("_e")).agg(
-        F.array_sort(F.collect_list(F.struct("seq", F.col("start").cast("int"), F.col("stop").cast("int"), "text"))).alias("edits")
+        F.array_sort(F.collect_list(F.struct("seq", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), "text"))).alias("edits")
     )
-    joined = docs.drop("edits").join(each, docs["doc_id"] == F.col("_e"), "left").drop("_e")
+    joined = docs.join(each, docs["doc_id"] == F.col("_e"), "left").drop("_e")
     return joined.withColumn("edits", F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), e["text"].alias("text"))))

@@ -141,7 +141,7 @@ def stacked_series(spark, folder):
         F.lit("all").alias("stack"), "series", place.alias("series_order"), "x", "y",
         F.lit(0).alias("id"),
     )
-    return S.stack_series(points).filter(F.col("y") != 0).drop("stack")
+    return S.stack_series(points).filter(F.col("y") != 0).drop("stack", "id")
 
 
 SHARE = """
@@ -203,6 +203,39 @@ def extents_bounded(spark, folder):
     )
 
 
+@query(f"""
+with {EVENTS}
+select series, min(y) filter (x % 7 = 0 and series <> 'click') as lo,
+  max(y) filter (x % 7 = 0 and series <> 'click') as hi
+from events_p group by 1""")
+def extents_sparse(spark, folder):
+    """A series whose points all lie outside keeps its row, without ends."""
+    far = (F.col("series") == "click") | (F.col("x") % 7 != 0)
+    points = event_points(spark, folder).withColumn("x", F.when(far, -1).otherwise(F.col("x")))
+    return S.extents(points, other=(0, None))
+
+
+@query("""
+with p as (
+  select strftime(o_orderdate, '%Y-%m') as x, o_orderstatus as series, o_orderkey as id,
+    cast(round((o_totalprice - 150000) * 100) as bigint) as y from orders),
+l as (select x, series, arg_max(y, id) as v from p group by 1, 2)
+select p.x, p.series, p.id, cast(p.y as double) as y,
+  cast(p.y + coalesce(sum(l.v) filter (sign(l.v) = sign(p.y)), 0) as double) as top
+from p left join l on l.x = p.x and l.series < p.series
+where p.y <> 0 group by p.x, p.series, p.id, p.y""")
+def stacked_points(spark, folder):
+    """Every order of a month on the last orders of the statuses before it."""
+    orders = table(spark, folder, "orders")
+    points = orders.select(
+        F.lit("all").alias("stack"), F.col("o_orderstatus").alias("series"),
+        F.col("o_orderstatus").alias("series_order"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("x"), F.col("o_orderkey").alias("id"),
+        F.round((F.col("o_totalprice") - 150000) * 100).cast("bigint").cast("double").alias("y"),
+    )
+    return S.stack_series(points).filter(F.col("y") != 0).select("x", "series", "id", "y", "top")
+
+
 @query(f"""
 with {EVENTS}, e as (
   select series, min(y + 5) as lo, max(y + 5) as hi from events_p group by 1)
@@ -373,6 +406,16 @@ def calendar_fill_users(spark, folder):
     return S.calendar_fill(events, "ts", "day", {"n": F.count("*"), "cents": cents}, ["user_id"])
 
 
+@query("""
+with b as (select date_trunc('minute', o_orderdate) as bucket, count(*) as n from orders group by 1),
+s as (select unnest(generate_series((select min(bucket) from b), (select max(bucket) from b),
+        interval 1 minute)) as bucket)
+select cast(s.bucket as timestamp) as bucket, b.n from s left join b on b.bucket = s.bucket""")
+def calendar_fill_minute(spark, folder):
+    """Millions of steps, laid out in stretches."""
+    return S.calendar_fill(table(spark, folder, "orders"), "o_orderdate", "minute", {"n": F.count("*")})
+
+
 @query("""
 select unnest(generate_series(date_trunc('month', min(o_orderdate)), max(o_orderdate),
   interval 1 month)) as bucket from orders""")
@@ -395,7 +438,7 @@ def time_rank_all(spark, folder):
 
 
 @query(f"""
-with {ORDERS}, d as (select distinct x from orders_p where series <> 'P'),
+with {ORDERS}, d as (select distinct x from orders_p),
 r as (select x, percent_rank() over (order by x) as p from d),
 n as (select x, p, lead(x) over (order by x) as nx, lead(p) over (order by x) as np from r),
 e as (select min(x) as x0, max(x) as x1 from r),
@@ -406,7 +449,7 @@ select q.x, round(case when q.x < e.x0 or q.x > e.x1 then (q.x - e.x0) / (e.x1 -
 from q cross join e asof left join n on n.x <= q.x""")
 def time_positions(spark, folder):
     """Ship times placed on the axis of order times."""
-    known = order_points(spark, folder).filter(F.col("series") != "P")
+    known = order_points(spark, folder)
     asked = table(spark, folder, "lineitem").select(
         (F.unix_micros(F.col("l_shipdate").cast("timestamp")) + 3_600_000_000).alias("x")
     )

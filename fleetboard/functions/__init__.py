@@ -1,7 +1,6 @@
 from .scalars import (
     full_name,
     hour_label,
-    hours_between,
     month_label,
     null_if_blank,
     percent,
@@ -13,7 +12,6 @@ from .scalars import (
 __all__ = [
     "full_name",
     "hour_label",
-    "hours_between",
     "month_label",
     "null_if_blank",
     "percent",

@@ -36,12 +36,8 @@ def value_order(col: Column, values: Sequence[str]) -> Column:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    """Whole seconds from ``start`` to ``end``."""
-    return F.unix_timestamp(end) - F.unix_timestamp(start)
-
-
-def hours_between(start: Column, end: Column) -> Column:
-    return seconds_between(start, end) / F.lit(3600.0)
+    """Whole seconds from ``start`` to ``end``, whatever the session's time zone."""
+    return F.timestamp_diff("SECOND", start, end)
 
 
 def ratio(total: Column, n: Column) -> Column:

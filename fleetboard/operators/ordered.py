@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from fleetboard.session import checkpoint
 
 GROUP_ROWS = 1_000_000
-BROADCAST_ROWS = 100_000  # of a few numbers each, some megabytes
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20  # of the same rows as text, keys included
 
 _RANGE = "_range"
 _POS = "_pos"
@@ -36,23 +37,30 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
 
 
 def attach(
-    df: DataFrame, per_key: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS
+    df: DataFrame,
+    per_key: DataFrame,
+    keys: Sequence[str],
+    limit: int = BROADCAST_ROWS,
+    how: str = "inner",
 ) -> DataFrame:
     """Add per-key values to every row, without a window over the rows.
 
     ``per_key`` has one row per key and is usually tiny, but a planner that only
     sees an aggregate over everything would shuffle all rows to meet it.  So it
-    is computed first and counted: up to ``limit`` rows it is broadcast and the
-    rows stay where they are; beyond, the rows are shuffled by key, and skew
-    handling cuts a hot key into pieces that each meet its one row.
+    is computed first and measured: up to ``limit`` rows and ``BROADCAST_BYTES`` of
+    text it is broadcast and the rows stay where they are; beyond, the rows are
+    shuffled by key, and skew handling cuts a hot key into pieces that each meet
+    its one row.  ``how="left"`` keeps rows whose key has no values.
     """
     if not keys:
         one = per_key.first()
         types = {f.name: f.dataType for f in per_key.schema.fields}
         return df.withColumns({c: F.lit(one[c]).cast(t) for c, t in types.items()})
     ready = checkpoint(per_key)
-    small = ready.limit(limit + 1).count() <= limit
-    return match_keys(df, F.broadcast(ready) if small else ready, keys, "inner")
+    size = F.sum(F.octet_length(F.to_json(F.struct(*ready.columns))))
+    rows, size = ready.limit(limit + 1).agg(F.count("*"), size).first()
+    small = rows <= limit and (size or 0) <= BROADCAST_BYTES
+    return match_keys(df, F.broadcast(ready) if small else ready, keys, how)
 
 
 @dataclass(frozen=True)

@@ -14,11 +14,12 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from fleetboard.functions import percent
 
-# The low parts of 2**43 rows fit a long.
-_LOW_BITS = 20
+# A long is cut into parts of this many bits; sums of 2**42 rows of a part fit a long.
+_PART_BITS = 21
 
 
 def per_key(df: DataFrame, key: str, *aggs: Column) -> DataFrame:
@@ -31,20 +32,24 @@ def sum_exact(df: DataFrame, keys: Sequence[str | Column], amount: str, name: st
     """Exact sum of a decimal column (up to 18 digits) per key.
 
     A decimal sum adds big numbers object by object.  Here the amount is counted
-    in its smallest unit and cut into two whole numbers of which neither sum can
-    overflow, so the adding up is plain long arithmetic; they are put together
-    once per key.
+    in its smallest unit and cut into three whole numbers of 21 bits, so the adding
+    up is plain long arithmetic, which 4 * 10**12 rows of a key cannot overflow;
+    the three sums are put together once per key.
     """
     dtype = df.schema[amount].dataType
+    if not isinstance(dtype, DecimalType) or dtype.precision > 18:
+        raise TypeError(f"{amount} must be a decimal of up to 18 digits, not {dtype.simpleString()}")
     unit = 10**dtype.scale
     whole = (F.col(amount) * unit).cast("bigint")
+    mask = F.lit(2**_PART_BITS - 1).cast("bigint")
     parts = df.groupBy(*keys).agg(
-        F.sum(F.shiftright(whole, _LOW_BITS)).alias("_high"),
-        F.sum(whole.bitwiseAND(F.lit(2**_LOW_BITS - 1).cast("bigint"))).alias("_low"),
+        F.sum(F.shiftright(whole, 2 * _PART_BITS)).alias("_high"),
+        F.sum(F.shiftright(whole, _PART_BITS).bitwiseAND(mask)).alias("_mid"),
+        F.sum(whole.bitwiseAND(mask)).alias("_low"),
     )
-    high, low = (F.col(c).cast("decimal(20,0)") for c in ("_high", "_low"))
-    total = (high * 2**_LOW_BITS + low) * F.lit(Decimal(1).scaleb(-dtype.scale))
-    return parts.withColumn(name, total).drop("_high", "_low")
+    high, mid, low = (F.col(c).cast("decimal(20,0)") for c in ("_high", "_mid", "_low"))
+    total = ((high * 2**_PART_BITS + mid) * 2**_PART_BITS + low) * F.lit(Decimal(1).scaleb(-dtype.scale))
+    return parts.withColumn(name, total).drop("_high", "_mid", "_low")
 
 
 def with_dimension(facts: DataFrame, dimension: DataFrame, key: str, *columns: str) -> DataFrame:

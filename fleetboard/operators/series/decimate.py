@@ -27,12 +27,14 @@ def min_max_decimate(points: DataFrame, width: int, threshold: int | None = None
     """The first, lowest, highest and last point of each of ``width`` columns.
 
     The column that holds a series' largest ``x`` gives only its first point.
-    Of equal values the earliest point is kept.  A series of up to ``threshold``
+    Of equal values the earliest point is kept, and NaN counts as no value.  A series of up to ``threshold``
     points (four per column if not given) is returned whole.  Points keep their
     own ``x``.
     """
     limit = 4 * width if threshold is None else threshold
     points = points.select(*COLUMNS).filter(F.col("x").isNotNull())
+    # NaN is no extreme; a point that has it can still be first or last.
+    y = F.when(~F.isnan(F.col("y").cast("double")), F.col("y"))
     spans = points.groupBy("series").agg(
         F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.count("*").alias("_n")
     )
@@ -53,8 +55,8 @@ def min_max_decimate(points: DataFrame, width: int, threshold: int | None = None
     extremes = long.groupBy("series", "_col").agg(
         F.min("x").alias("_first"),
         F.max("x").alias("_last"),
-        F.min("y").alias("_low"),
-        F.max("y").alias("_high"),
+        F.min(y).alias("_low"),
+        F.max(y).alias("_high"),
         F.max("_at_end").alias("_end"),
     )
     candidates = attach(long, extremes, ["series", "_col"]).filter(
@@ -63,7 +65,7 @@ def min_max_decimate(points: DataFrame, width: int, threshold: int | None = None
         | (~F.col("_end") & ((F.col("y") == F.col("_low")) | (F.col("y") == F.col("_high"))))
     )
     point = F.struct("x", "id", "y")
-    by_y = F.col("y").isNotNull()
+    by_y = y.isNotNull()
     kept = candidates.groupBy("series", "_col").agg(
         F.min(point).alias("first"),
         F.max(F.when(~F.col("_end"), point)).alias("last"),
@@ -96,6 +98,12 @@ def _bucket(i: Column, rate: Column) -> Column:
     )
 
 
+def _nullable(fields: list[T.StructField]) -> T.StructType:
+    """Rows of sums hold NULL where rows of points have values, also for columns
+    that the caller's frame declares without NULLs."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+
+
 def lttb_decimate(
     points: DataFrame,
     width: int,
@@ -136,7 +144,7 @@ def lttb_decimate(
     # One pass over the points.  What it leaves is small and used three times, so
     # it is written down.
     sums = "sx double, sy double, n bigint"
-    reduced = T.StructType(placed.schema.fields + T.StructType.fromDDL(sums).fields)
+    reduced = _nullable(placed.schema.fields + T.StructType.fromDDL(sums).fields)
     left = checkpoint(placed.mapInArrow(hulls_and_sums(inner - 1), reduced))
     here = F.col("bucket")
     points = left.filter(F.col("n").isNull()).select(*COLUMNS, "bucket")
@@ -157,13 +165,13 @@ def lttb_decimate(
     corners = (
         corners.repartition("series", "bucket")
         .sortWithinPartitions("series", "bucket", "x", "id")
-        .mapInArrow(hulls, corners.schema)
+        .mapInArrow(hulls, _nullable(corners.schema.fields))
     )
     chain = points.filter(here == -1).unionByName(corners)
     ahead = match_keys(chain, means, ["series", "bucket"], "left")
     chosen = (
         ahead.repartition("series")
         .sortWithinPartitions("series", "bucket", "x", "id")
-        .mapInArrow(choose, T.StructType([points.schema[c] for c in COLUMNS]))
+        .mapInArrow(choose, _nullable([points.schema[c] for c in COLUMNS]))
     )
     return kept.unionByName(chosen)

@@ -25,32 +25,34 @@ def extents(
     suggested: tuple[float | None, float | None] = (None, None),
     hidden: Sequence[str] = (),
 ) -> DataFrame:
-    """``lo`` and ``hi`` of one axis per key.
+    """``lo`` and ``hi`` of one axis per key, a row for every key that is visible.
 
     Counted are visible points with a finite value whose other axis lies inside
     ``other``.  ``user`` bounds win over the data, ``suggested`` ones only widen
-    it.  With no point and no bound both ends are NULL.  For stacked series pass
-    the frame of :func:`stack_series` with ``axis="top"``.
+    it.  With no point and no bound both ends are NULL; one known end stands for
+    the other.  For stacked series pass the frame of :func:`stack_series` with
+    ``axis="top"``.
     """
-    across = "x" if axis != "x" else "y"
-    inside = points.filter(_finite(F.col(axis).cast("double")))
+    across = F.col("x" if axis != "x" else "y")
+    if hidden:
+        points = points.filter(F.col("series").isNull() | ~F.col("series").isin(list(hidden)))
+    value = F.col(axis).cast("double")
+    counted = _finite(value)
     if other[0] is not None:
-        inside = inside.filter(F.col(across) >= other[0])
+        counted = counted & (across >= other[0])
     if other[1] is not None:
-        inside = inside.filter(F.col(across) <= other[1])
-    if hidden:
-        inside = inside.filter(F.col("series").isNull() | ~F.col("series").isin(list(hidden)))
-    found = inside.groupBy(*keys).agg(
-        F.min(F.col(axis).cast("double")).alias("lo"), F.max(F.col(axis).cast("double")).alias("hi")
+        counted = counted & (across <= other[1])
+    # Conditional, so that a key without a counted point keeps its row.
+    data = F.when(counted, value)
+    per_key = points.groupBy(*keys).agg(
+        F.least(F.min(data), _double(suggested[0])).alias("data_lo"),
+        F.greatest(F.max(data), _double(suggested[1])).alias("data_hi"),
     )
-    lo = _double(user[0]) if user[0] is not None else F.least("lo", _double(suggested[0]))
-    hi = _double(user[1]) if user[1] is not None else F.greatest("hi", _double(suggested[1]))
-    # A user bound beyond the data pulls the other end along.
-    if user[1] is not None:
-        lo = F.least(lo, hi)
-    if user[0] is not None:
-        hi = F.greatest(lo, hi)
-    return found.select(*keys, F.coalesce(lo, hi).alias("lo"), F.coalesce(hi, lo).alias("hi"))
+    forced_lo, forced_hi = _double(user[0]), _double(user[1])
+    # An end set by the user beyond the other one pulls that along.
+    lo = F.least("data_lo" if user[0] is None else forced_lo, forced_hi)
+    hi = F.greatest("data_hi", forced_lo) if user[1] is None else forced_hi
+    return per_key.select(*keys, F.coalesce(lo, hi).alias("lo"), F.coalesce(hi, lo).alias("hi"))
 
 
 def adjust_extents(
@@ -67,40 +69,30 @@ def adjust_extents(
     percentage of half the range, at both ends, but leaves an end at zero under
     ``begin_at_zero``.  Ends set by the user stay, except under grace.
     """
-
-    def low(value: Column) -> Column:
-        return F.col("lo") if user[0] is not None else value
-
-    def high(value: Column) -> Column:
-        return F.col("hi") if user[1] is not None else value
-
-    out = df.withColumns(
-        {"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(1.0))}
-    )
-    lo, hi = F.col("lo"), F.col("hi")
-    if begin_at_zero:
-        out = out.withColumns(
-            {
-                "lo": F.when((lo > 0) & (hi > 0), low(F.lit(0.0))).otherwise(lo),
-                "hi": F.when((lo < 0) & (hi < 0), high(F.lit(0.0))).otherwise(hi),
-            }
-        )
-    gap = F.when(hi == 0, F.lit(1.0)).otherwise(F.abs(hi * 0.05))
-    same = lo == hi
-    out = out.withColumns(
-        {
-            "lo": lo if begin_at_zero else F.when(same, low(lo - gap)).otherwise(lo),
-            "hi": F.when(same, high(hi + gap)).otherwise(hi),
-        }
-    )
-    if grace is not None:
-        if isinstance(grace, str) and grace.endswith("%"):
-            more = F.abs((hi - lo) / 2 * (float(grace[:-1]) / 100))
-        else:
-            more = F.lit(abs(float(grace)))
-
-        def widen(end: Column, by: Column) -> Column:
-            return F.when(end == 0, end).otherwise(end + by) if begin_at_zero else end + by
-
-        out = out.withColumns({"lo": widen(lo, -more), "hi": widen(hi, more)})
-    return out
+    # Each step is a pair of columns, worked out for both ends at once; ``free``
+    # says which of them the rules may move.
+    free = {"lo": user[0] is None, "hi": user[1] is None}
+    rest = [c for c in df.columns if c not in free]
+    shown = df.select(*rest, F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
+    zero = F.lit(0.0)
+    above, below = F.least("lo", "hi") > 0, F.greatest("lo", "hi") < 0
+    anchored = {
+        "lo": F.when(above & F.lit(begin_at_zero and free["lo"]), zero).otherwise(F.col("lo")),
+        "hi": F.when(below & F.lit(begin_at_zero and free["hi"]), zero).otherwise(F.col("hi")),
+    }
+    shown = shown.select(*rest, *[end.alias(name) for name, end in anchored.items()])
+    flat = F.col("lo") == F.col("hi")
+    gap = F.when(F.col("hi") == 0, 1.0).otherwise(F.abs("hi") * 0.05)
+    pad = {
+        "lo": F.when(flat & F.lit(free["lo"] and not begin_at_zero), gap).otherwise(zero),
+        "hi": F.when(flat & F.lit(free["hi"]), gap).otherwise(zero),
+    }
+    shown = shown.select(*rest, (F.col("lo") - pad["lo"]).alias("lo"), (F.col("hi") + pad["hi"]).alias("hi"))
+    if grace is None:
+        return shown.select(*df.columns)
+    percent = isinstance(grace, str) and grace.endswith("%")
+    share = float(str(grace).rstrip("%"))
+    more = F.abs((F.col("hi") - F.col("lo")) / 2 * (share / 100)) if percent else F.lit(abs(share))
+    room = {name: F.when((F.col(name) == 0) & F.lit(begin_at_zero), zero).otherwise(more) for name in free}
+    shown = shown.select(*rest, (F.col("lo") - room["lo"]).alias("lo"), (F.col("hi") + room["hi"]).alias("hi"))
+    return shown.select(*df.columns)

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ordered import GROUP_ROWS, attach, in_order
+from ..ordered import GROUP_ROWS, attach, in_order, match_keys
 
 
-def stack_series(points: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``base`` and ``top`` of every value stacked on the earlier series at its x.
+def stack_series(
+    points: DataFrame, group_rows: int = GROUP_ROWS, single: bool = False
+) -> DataFrame:
+    """``base`` and ``top`` of every point stacked on the earlier series at its x.
 
     Needs ``stack``, ``series``, ``series_order``, ``x``, ``y``, ``id``.  Inside a
     stack, values at one x pile up in series order, positive ones upwards and
-    negative ones downwards.  A zero has no height and sits on the pile of the
-    first non-zero value below it.  NULLs are skipped.  Of several points of one
-    series at the same x the last one counts.
+    negative ones downwards; with ``single`` all on one pile, whatever their
+    sign.  A zero has no height and sits on the pile of the first non-zero value
+    below it.  Every point with a value comes out; of several points of one series
+    at the same x the last one by ``id`` is what later series stand on, and a
+    last one without a value is nothing to stand on.
     """
-    keys = ["stack", "x", "series", "series_order"]
-    single = (
-        points.filter(F.col("y").isNotNull()).groupBy(*keys).agg(F.max_by("y", "id").alias("y"))
-    )
+    place = ["stack", "x", "series", "series_order"]
+    last = points.groupBy(*place).agg(F.max_by("y", "id").alias("_y"))
     # At one x a stack has at most one value per series.
     widest = (
         points.groupBy("stack")
@@ -28,17 +30,33 @@ def stack_series(points: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
         .agg(F.max("n"))
         .first()[0]
     )
-    y = F.col("y")
+    own = F.col("_y")
     piled = (
-        in_order(single, ["stack", "x"], ["series_order", "series"], group_rows, widest or 0)
-        .running_sum("_up", F.when(y > 0, y))
-        .running_sum("_down", F.when(y < 0, y))
-        .first_known("_sign", F.when(y != 0, F.signum(y)))
+        in_order(last, ["stack", "x"], ["series_order", "series"], group_rows, widest or 0)
+        .running_sum("_up", F.when(own > 0, own))
+        .running_sum("_down", F.when(own < 0, own))
+        .running_sum("_some", F.when(own != 0, F.lit(1)))
+        .first_known("_sign", F.when(own != 0, F.signum(own)))
         .rows()
     )
-    side = F.when(y != 0, F.signum(y)).otherwise(F.col("_sign"))
-    top = F.when(side > 0, F.col("_up")).when(side < 0, F.col("_down")).otherwise(F.lit(0.0))
-    return piled.select(*keys, "y", (top - y).alias("base"), top.alias("top"))
+    rows = match_keys(points.filter(F.col("y").isNotNull()), piled, place, "inner")
+    y, zero = F.col("y"), F.lit(0.0)
+    up, down = F.coalesce("_up", zero), F.coalesce("_down", zero)
+    # What lies below: the running sums without the series' own last value, and the
+    # sign of the first value only if that is an earlier one.
+    under_up = up - F.coalesce(F.when(own > 0, own), zero)
+    under_down = down - F.coalesce(F.when(own < 0, own), zero)
+    earlier = F.coalesce("_some", F.lit(0)) > F.coalesce(F.when(own != 0, 1).otherwise(0), F.lit(0))
+    side = F.when(y != 0, F.signum(y)).when(earlier, F.col("_sign"))
+    apart = (
+        F.when((y > 0) & (y == own), up)
+        .when((y < 0) & (y == own), down)
+        .when(side > 0, under_up + y)
+        .when(side < 0, under_down + y)
+        .otherwise(zero)
+    )
+    top = under_up + under_down + y if single else apart
+    return rows.select(*place, "id", "y", (top - y).alias("base"), top.alias("top"))
 
 
 def share_of_total(points: DataFrame, hidden: list[str] | None = None) -> DataFrame:

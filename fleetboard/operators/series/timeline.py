@@ -11,7 +11,7 @@ from fleetboard.session import checkpoint
 
 from ..ordered import GROUP_ROWS, attach, in_order, match_keys
 
-MAX_STEPS = 100_000  # fixed value: more steps than this between ends is an error
+STRETCH = 10_000  # steps of a calendar that one row is turned into
 
 UNITS = ("second", "minute", "hour", "day", "week", "month", "quarter", "year")
 
@@ -35,29 +35,47 @@ def time_bucket(ts: Column, unit: str, week_start: int = 1) -> Column:
     return (F.date_trunc("week", ts - shift) + shift).cast("timestamp_ntz")
 
 
-def _step(unit: str, size: int) -> Column:
+def _steps(unit: str, count: Column) -> Column:
+    """An interval of ``count`` units."""
     months = {"month": 1, "quarter": 3, "year": 12}
     if unit in months:
-        return F.make_interval(months=F.lit(size * months[unit]))
+        return F.make_interval(months=(count * months[unit]).cast("int"))
     if unit in ("day", "week"):
-        return F.make_interval(days=F.lit(size * (7 if unit == "week" else 1)))
-    return F.make_interval(secs=F.lit(size * {"hour": 3600, "minute": 60, "second": 1}[unit]))
+        return F.make_interval(days=(count * (7 if unit == "week" else 1)).cast("int"))
+    return F.make_interval(secs=count * {"hour": 3600, "minute": 60, "second": 1}[unit])
 
 
 def calendar_spine(
-    df: DataFrame, ts: str, unit: str, keys: Sequence[str] = (), step: int = 1, week_start: int = 1
+    df: DataFrame,
+    ts: str,
+    unit: str,
+    keys: Sequence[str] = (),
+    step: int = 1,
+    week_start: int = 1,
+    max_steps: int | None = None,
 ) -> DataFrame:
-    """Every ``step`` units from the first time to the last, per key, as
-    ``bucket``.  More than ``MAX_STEPS`` steps is an error, so a spine is bounded."""
+    """Every ``step`` units from the first time to the last, per key, as ``bucket``.
+
+    The steps are laid out in two levels: stretches of ``STRETCH`` steps first,
+    dealt out over the tasks, then the steps of each.  So no row and no task holds
+    a whole spine.  With ``max_steps``, more of them in a key are an error.
+    """
     ends = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    steps = F.timestamp_diff(unit.upper(), F.col("_lo"), F.col("_hi"))
-    guard = F.when(
-        steps > MAX_STEPS * step, F.raise_error(F.lit(f"too many {unit} steps between ends"))
-    ).otherwise(F.col("_hi"))
-    start = time_bucket(F.col("_lo"), unit, week_start)
-    spine = F.sequence(start, guard.cast("timestamp_ntz"), _step(unit, step))
     # Without any time there are no ends and no steps.
-    return ends.filter(F.col("_lo").isNotNull()).select(*keys, F.explode(spine).alias("bucket"))
+    ends = ends.filter(F.col("_lo").isNotNull())
+    start = time_bucket(F.col("_lo"), unit, week_start)
+    count = F.floor(F.timestamp_diff(unit.upper(), start, F.col("_hi")) / step)
+    if max_steps is not None:
+        many = F.raise_error(F.lit(f"too many {unit} steps between ends"))
+        count = F.when(count > max_steps, many.cast("bigint")).otherwise(count)
+    spans = ends.select(*keys, start.alias("_lo"), count.alias("_n"))
+    stretches = spans.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / STRETCH))).alias("_k"))
+    stretches = stretches.repartition(*keys, "_k")
+    first = F.col("_k") * STRETCH
+    inside = F.sequence(first, F.least(first + (STRETCH - 1), F.col("_n")))
+    steps = stretches.select(*keys, "_lo", F.explode(inside).alias("_i"))
+    bucket = (F.col("_lo") + _steps(unit, F.col("_i") * step)).cast("timestamp_ntz")
+    return steps.select(*keys, bucket.alias("bucket"))
 
 
 def calendar_fill(
@@ -102,7 +120,8 @@ def time_positions(
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Positions of further times: linear between the ranked times around each,
-    and on the line through a key's first and last ranked time outside them.
+    and on the line through a key's first and last ranked time outside them.  A
+    NULL time, and any time of a key without ranks, has the position NULL.
 
     One ordered pass over both frames put together; no range join.
     """
@@ -119,7 +138,7 @@ def time_positions(
         F.min("position").alias("_p0"),
         F.max("position").alias("_p1"),
     )
-    rows = attach(found.filter(F.col("_ask") == 1).drop("position"), ends, keys)
+    rows = attach(found.filter(F.col("_ask") == 1).drop("position"), ends, keys, how="left")
     outside = F.col("_below").isNull() | F.col("_above").isNull()
     head = F.struct(F.col("_x0").alias("x"), F.col("_p0").alias("position"))
     tail = F.struct(F.col("_x1").alias("x"), F.col("_p1").alias("position"))
@@ -129,7 +148,7 @@ def time_positions(
     part = F.try_divide((F.col("x") - F.col("lo.x")).cast("double"), F.col("hi.x") - F.col("lo.x"))
     rise = F.col("hi.position") - F.col("lo.position")
     position = F.col("lo.position") + F.coalesce(part, F.lit(0.0)) * rise
-    return rows.select(*keys, "x", position.alias("position"))
+    return rows.select(*keys, "x", F.when(F.col("x").isNotNull(), position).alias("position"))
 
 
 def smallest_step(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +29,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in {**SESSION_CONF, **conf}.items():
         builder = builder.config(key, value)
@@ -51,7 +54,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fleetboard-"))
+        own = tempfile.mkdtemp(prefix="fleetboard-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
@@ -62,5 +67,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    return f"{checkpoint_dir(spark)}/work/{uuid.uuid4().hex}/{name}"
+    """A new place in the shared folder, among those of this application."""
+    return f"{_work(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _work(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/work/{spark.sparkContext.applicationId}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; frames that
+    still read it are of no use after that."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_work(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -64,15 +64,13 @@ def lttb(points, samples, threshold):
 
 
 def stack_tops(values):
-    """Tops of one pile, values in series order: each value on the earlier ones
-    of its sign, a zero taking the sign of the first other value it meets."""
+    """Tops of one pile: a value stands on the sum of the earlier values of its
+    sign; a zero has the sign of the first value before it that is not zero."""
     tops = []
     for k, value in enumerate(values):
-        top = value
-        for earlier in values[:k]:
-            if top == 0 or (earlier > 0) == (top > 0) and earlier != 0:
-                top += earlier
-        tops.append(top)
+        before = values[:k]
+        sign = value or next((v for v in before if v), 0)
+        tops.append(value + sum(v for v in before if v * sign > 0))
     return tops
 
 

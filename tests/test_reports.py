@@ -1,4 +1,5 @@
 import json
+from decimal import Decimal
 
 import pytest
 
@@ -245,3 +246,25 @@ def test_payload_of_nothing(empty):
 def test_null_label_in_payload(tables):
     (one,) = objects(payload("boat_size_distribution", tables, dashboard="overview"))
     assert one == {"labels": [None, "Giant", "Small", "Medium", "Large"], "data": [1, 1, 2, 2, 1]}
+
+
+def test_sums_of_the_largest_amounts(spark):
+    from fleetboard.operators.relational import sum_exact
+
+    most = "cast(9999999999999999.99 as decimal(18,2))"
+    df = spark.range(12_000_000).selectExpr("1 as k", f"{most} as amount")
+    assert sum_exact(df, ["k"], "amount", "total").first()["total"] == 12_000_000 * Decimal("9999999999999999.99")
+    with pytest.raises(TypeError, match="decimal"):
+        sum_exact(spark.range(1), ["id"], "id", "total")
+
+
+def test_seconds_do_not_depend_on_the_session_zone(spark):
+    from fleetboard.functions import seconds_between
+
+    df = spark.sql("select timestamp_ntz'2026-03-29 00:30:00' as a, timestamp_ntz'2026-03-29 05:30:00' as b")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        assert df.select(seconds_between(df["a"], df["b"]).alias("s")).first()["s"] == 5 * 3600
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

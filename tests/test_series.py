@@ -171,8 +171,8 @@ def test_stack_skips_null_and_takes_the_last_of_repeated_x(spark):
          ("a", "s2", 2, 1, 1.0, 4), ("b", "s3", 3, 1, 7.0, 5)],
         "stack string, series string, series_order int, x int, y double, id int",
     )
-    got = {r["series"]: r["top"] for r in S.stack_series(df).collect()}
-    assert got == {"s0": 5.0, "s2": 6.0, "s3": 7.0}
+    got = {r["id"]: r["top"] for r in S.stack_series(df).collect()}
+    assert got == {1: 2.0, 2: 5.0, 4: 6.0, 5: 7.0}
 
 
 def test_shares(spark):
@@ -366,7 +366,10 @@ def test_calendar_spine_steps_and_guard(spark):
     years = [r["bucket"].year for r in S.calendar_spine(df, "t", "year", step=2).collect()]
     assert years == [2020, 2022, 2024, 2026]
     with pytest.raises(Exception, match="too many"):
-        S.calendar_spine(df, "t", "minute").count()
+        S.calendar_spine(df, "t", "minute", max_steps=100_000).count()
+    days = (dt.datetime(2026, 1, 1) - dt.datetime(2020, 1, 31)).days
+    minutes = S.calendar_spine(df, "t", "minute")
+    assert minutes.count() == minutes.distinct().count() == 24 * 60 * days + 1
     assert S.calendar_spine(df, "t", "hour").count() == 24 * (dt.datetime(2026, 1, 1) - dt.datetime(2020, 1, 31)).days + 1
 
 
@@ -422,3 +425,48 @@ def test_value_rules(spark):
     assert [tuple(r) for r in got] == [(-5.0, 3.0, 3.0, -5.0), (2.0, 7.0, 2.0, 7.0), (-4.0, 4.0, -4.0, 4.0)]
     ys = spark.createDataFrame([(1.5,), (0.0,), (-1.0,), (float("nan"),), (float("inf"),), (None,)], "y double")
     assert [r[0] for r in ys.select(S.positive_only(F.col("y"))).collect()] == [1.5] + [None] * 5
+
+
+# -- rows that once went wrong -------------------------------------------------------------------------
+
+
+def test_lttb_of_columns_declared_without_nulls(spark):
+    df = spark.range(2000).select(
+        F.lit("s").alias("series"), F.col("id").alias("x"), (F.col("id") * 7 % 101).cast("double").alias("y"), "id"
+    )
+    assert not df.schema["series"].nullable
+    assert S.lttb_decimate(df, 20, threshold=100).count() == 20
+
+
+def test_min_max_passes_over_nan(spark):
+    points = [("s", i, float(i % 10), i) for i in range(100)]
+    points[55] = ("s", 55, float("nan"), 55)
+    points[57] = ("s", 57, 99.0, 57)
+    kept = {r["id"] for r in S.min_max_decimate(spark.createDataFrame(points, SCHEMA), 4, 10).collect()}
+    assert 57 in kept and 55 not in kept
+
+
+def test_extents_keep_a_series_without_a_counted_point(spark):
+    df = spark.createDataFrame([("a", 1, 5.0, 0), ("b", -1, 7.0, 1), ("c", 1, None, 2)], SCHEMA)
+    got = {r["series"]: (r["lo"], r["hi"]) for r in S.extents(df, other=(0, None)).collect()}
+    assert got == {"a": (5.0, 5.0), "b": (None, None), "c": (None, None)}
+    got = {r["series"]: (r["lo"], r["hi"]) for r in S.extents(df, other=(0, None), user=(2, None)).collect()}
+    assert got == {"a": (2.0, 5.0), "b": (2.0, 2.0), "c": (2.0, 2.0)}
+    got = {r["series"]: (r["lo"], r["hi"]) for r in S.adjust_extents(S.extents(df, other=(0, None))).collect()}
+    assert got["b"] == (0.0, 1.0)
+
+
+def test_positions_of_null_times_and_unknown_keys(spark):
+    ranks = S.time_rank(spark.createDataFrame([("a", 0), ("a", 10)], "series string, x bigint"))
+    asked = spark.createDataFrame([("a", 5), ("a", None), ("z", 3)], "series string, x bigint")
+    got = {(r["series"], r["x"]): r["position"] for r in S.time_positions(ranks, asked).collect()}
+    assert got == {("a", 5): 0.5, ("a", None): None, ("z", 3): None}
+
+
+def test_stacking_keeps_every_point(spark):
+    rows = [("k", "a", 0, 1, 5.0, 1), ("k", "a", 0, 1, -2.0, 2), ("k", "b", 1, 1, 3.0, 3), ("k", "b", 1, 1, -1.0, 4)]
+    df = spark.createDataFrame(rows, "stack string, series string, series_order int, x bigint, y double, id bigint")
+    got = {r["id"]: r["top"] for r in S.stack_series(df).collect()}
+    assert got == {1: 5.0, 2: -2.0, 3: 3.0, 4: -3.0}
+    got = {r["id"]: r["top"] for r in S.stack_series(df, single=True).collect()}
+    assert got == {1: 5.0, 2: -2.0, 3: 1.0, 4: -3.0}

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUN_BYTES = 2 << 20
+RUN_BYTES = 2_000_000
 U64 = np.uint64
 
 _rng = np.random.default_rng(20240607)
@@ -32,8 +32,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers for a run; only a text longer than a run has a table of its own."""
+    return _usual() if bits <= 21 else _table(bits)
+
+
+@lru_cache(maxsize=1)
+def _usual() -> tuple[np.ndarray, np.ndarray]:
+    return _table(21)
+
+
+def _table(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     out = []
     for base in (_BASE, _BACK):

@@ -28,7 +28,7 @@ from . import kernels as K
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SIGN, STOP = 0xFF, 0xFE  # a space, and the end of a word, inside; no UTF-8 text has these bytes
 SEED = 20240601
-RUN = 6 << 20
+RUN = 1_900_000  # bytes of texts encoded at once
 BATCH = 160_000  # bytes of distinct words whose lattices are made at once
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 

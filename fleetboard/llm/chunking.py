@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .common import small_batches
 
 MIN, NORMAL, MAX = 8, 32, 128  # bytes
 HARD, EASY = 6, 4  # zero bits asked for before and after the normal size
@@ -123,7 +124,7 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, out])
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
-    return df.mapInArrow(run, schema)
+    return df.transform(small_batches).mapInArrow(run, schema)
 
 
 def with_next(df: DataFrame, buckets: int) -> DataFrame:
@@ -225,4 +226,4 @@ def compare_with_next(df: DataFrame, buckets: int | None = None) -> DataFrame:
         if len(ids) > 1:
             yield _compare(ids, texts)
 
-    return with_next(df, buckets).mapInArrow(run, COMPARED)
+    return with_next(df, buckets).transform(small_batches).mapInArrow(run, COMPARED)

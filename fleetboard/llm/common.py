@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetboard.session import checkpoint, work_path
 
-__all__ = ["bounded_sample", "checkpoint", "free", "held_out", "id_crc", "stored", "table"]
+__all__ = ["bounded_sample", "checkpoint", "free", "held_out", "id_crc", "small_batches", "stored", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,18 @@ def free(df: DataFrame, stem: str) -> str:
     return stem
 
 
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let Arrow hand over at most ``BATCH_ROWS`` rows at once in this session: a
+    batch of whole texts is held several times on both sides of the pipe."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage is cut, and the planner
     knows the size, so it broadcasts only what is under the session's bound."""

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import small_batches
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -195,7 +196,7 @@ def contained(
                     ["doc_id", "item_id", "shared", "shingles", "containment"],
                 )
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+        part = docs.select(F.col("doc_id").cast("long"), "text").transform(small_batches).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -213,5 +214,5 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
                     keep[[lo + t for t, _, _ in index.search(d, o)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(small_batches).mapInArrow(run, docs.schema)
     return docs

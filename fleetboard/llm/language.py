@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bounded_sample
+from .common import bounded_sample, small_batches
 
 DIM = 512
 CODES = 1 << 14  # letters share a vector only if they are this many apart by hash
@@ -145,7 +145,7 @@ def train(docs: DataFrame, learn: Column, lang: str = "lang", sample: int = SAMP
                 schema=pa.schema([("lang", pa.string()), ("place", pa.int64()), ("value", pa.int64())]),
             )
 
-    sums = some.mapInArrow(run, "lang string, place long, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
+    sums = some.transform(small_batches).mapInArrow(run, "lang string, place long, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     rows = sums.toPandas()
     names = tuple(sorted(rows["lang"].unique()))
     table = np.zeros((len(names), dim))
@@ -174,4 +174,4 @@ def identify(docs: DataFrame, model: Prototypes) -> DataFrame:
                     ["doc_id", "lang_pred", "score"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(small_batches).mapInArrow(run, "doc_id long, lang_pred string, score double")

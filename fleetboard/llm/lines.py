@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import free, stored
+from .common import free, small_batches, stored
 
 NEAR = 20  # characters a line needs for one edit to be a small change; shorter ones must be equal
 BLOCKS = 16
@@ -171,7 +171,7 @@ def _per_line(df: DataFrame, given: list[str], make: Callable[..., tuple], names
     out = T.StructType(sorted(fields, key=lambda f: order[f.name]) + T._parse_datatype_string(schema).fields)
         # Each row gives many: dealt out anew, so that a small table is not one task.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(*base, *given).repartition(parts, *_ID).mapInArrow(run, out)
+    return df.select(*base, *given).repartition(parts, *_ID).transform(small_batches).mapInArrow(run, out)
 
 
 def covered(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def covered(docs: DataFrame, distinct: DataFrame) -> DataFrame:
                 out += [{"_line": normal(lines[x["_first"]["_no"]]), **x} for x in at]
             yield pa.RecordBatch.from_pylist(out, schema=_arrow(fields))
 
-    texts = hit.select("_text", "_at").mapInArrow(pick, fields).dropDuplicates(_ID)
+    texts = hit.select("_text", "_at").transform(small_batches).mapInArrow(pick, fields).dropDuplicates(_ID)
     texts = stored(texts, "candidate_texts")
     q = np.arange(2 * BLOCKS, dtype=np.int32)
     blocks = _per_line(
@@ -236,7 +236,7 @@ def covered(docs: DataFrame, distinct: DataFrame) -> DataFrame:
             a, b = batch.column("_a").to_pylist(), batch.column("_b").to_pylist()
             yield batch.select(_ID).filter(pa.array([within_one(x, y) for x, y in zip(a, b, strict=True)], pa.bool_()))
 
-    return pairs.select(*_ID, "_a", "_b").mapInArrow(verify, "_k1 long, _k2 long")
+    return pairs.select(*_ID, "_a", "_b").transform(small_batches).mapInArrow(verify, "_k1 long, _k2 long")
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -259,7 +259,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("lines_dropped", "lines_kept")]
     docs = docs.select(*names)
     slim = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_th"), F.col("text").alias("_text"))
-    lines = slim.mapInArrow(_lines, LINE_SCHEMA)
+    lines = slim.transform(small_batches).mapInArrow(_lines, LINE_SCHEMA)
     distinct = stored(
         lines.groupBy(*_ID).agg(
             F.min(F.struct("_doc", "_th", "_no")).alias("_first"), F.first("_keys").alias("_keys")
@@ -302,4 +302,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 [*columns, "lines_dropped", "lines_kept"],
             )
 
-    return joined.select(*names, mine).mapInArrow(rebuild, out)
+    return joined.select(*names, mine).transform(small_batches).mapInArrow(rebuild, out)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import free, stored
+from .common import free, small_batches, stored
 from .graph import components
 
 WORDS = 5
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     ["_doc", "_th", "_id", "_n", "_bands"],
                 )
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.transform(small_batches).mapInArrow(run, SIGNED)
 
 
 def _verify(threshold: float):
@@ -153,7 +153,7 @@ def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
             columns = [batch.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.list_(pa.int64()))], out.names)
 
-    return texts.mapInArrow(run, out)
+    return texts.transform(small_batches).mapInArrow(run, out)
 
 
 class Joined:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SIGN, STOP = 0xFF, 0xFE  # a space, and the end of a word, inside; no UTF-8 text has these bytes
@@ -296,7 +297,7 @@ def encode(docs: DataFrame, path: str = MODEL, seed: int = SEED, sharpness: floa
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, out])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, schema)
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).transform(small_batches).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, pieces: str = "pieces", path: str = MODEL, out: str = "decoded") -> DataFrame:
@@ -315,4 +316,4 @@ def decode(rows: DataFrame, pieces: str = "pieces", path: str = MODEL, out: str
                 found = [None if n else t.decode("utf-8", "surrogatepass") for t, n in zip(texts, nulls, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], [*part.schema.names, out])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
+    return rows.transform(small_batches).mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bounded_sample
+from .common import bounded_sample, small_batches
 
 SAMPLE = 20_000  # labelled rows that a model is fitted on at most
 STATS = (
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample:
                     [pa.array(list(x), pa.list_(pa.float64())), batch.column("_y")], ["x", "y"]
                 )
 
-    rows = texts.mapInArrow(run, "x array<double>, y double").toPandas()
+    rows = texts.transform(small_batches).mapInArrow(run, "x array<double>, y double").toPandas()
     order = np.lexsort(np.array([*np.array(rows["x"].tolist()).T, rows["y"]])) if len(rows) else []
     x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1)[order] if len(rows) else np.zeros((0, len(STATS)))
     return fit(x, rows["y"].to_numpy(dtype=float)[order] if len(rows) else np.zeros(0))
@@ -174,4 +174,4 @@ def score(docs: DataFrame, model: Trees, out: str = "score") -> DataFrame:
             values = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", out])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {out} double")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(small_batches).mapInArrow(run, f"doc_id long, {out} double")

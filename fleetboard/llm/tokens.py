@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -193,7 +195,7 @@ def plant(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", "edits")
     schema = "doc_id long, text string, edits array<struct<start:int,stop:int,text:string>>, sizes array<int>, counts array<int>"
-    return rows.mapInArrow(run, schema)
+    return rows.transform(small_batches).mapInArrow(run, schema)
 
 
 EDITED = "doc_id long, pieces long, n_tokens long, edited_tokens long, encoded long, edited string"
@@ -220,7 +222,7 @@ def apply_edits(trees: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return trees.mapInArrow(run, EDITED)
+    return trees.transform(small_batches).mapInArrow(run, EDITED)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetboard.functions import full_name
 from fleetboard.plans import (
+    kept,
     metric_by_date,
     payload,
     payload_json,
@@ -114,15 +116,47 @@ def csv_label_value(spark, folder):
     return read_label_value_csv(spark, path)
 
 
-@query(reports.SQL["monthly_revenue_dated"])
+@query(f"""
+select 'month' as kind, label, value from ({reports.SQL["monthly_revenue"]})
+union all select 'size', label, cast(value as double) from ({reports.SQL["boat_size_distribution"]})
+union all select 'driver', firstname || ' ' || lastname, cast(driverid as double)
+  from ({reports.with_views("select * from driver")})""")
 def parquet_tables(spark, folder):
-    """The star schema written as tables and read back, the trips by month."""
+    """The three tables of the star schema written and read back, each in a report."""
     tables = star(spark, folder)
     path = work_path(spark, "star")
     tables.trip.select(*TRIP.names).write.parquet(f"{path}/boattrip")
     tables.boat.write.parquet(f"{path}/boat")
     tables.driver.write.parquet(f"{path}/driver")
-    return run("monthly_revenue", read_tables(spark, path), **reports.H1)
+    back = read_tables(spark, path)
+    months = run("monthly_revenue", back).select(F.lit("month").alias("kind"), "label", "value")
+    sizes = run("boat_size_distribution", back, dashboard="overview").select(
+        F.lit("size").alias("kind"), "label", F.col("value").cast("double").alias("value")
+    )
+    drivers = back.driver.select(
+        F.lit("driver").alias("kind"), full_name(F.col("firstname"), F.col("lastname")).alias("label"),
+        F.col("driverid").cast("double").alias("value"),
+    )
+    return months.unionByName(sizes).unionByName(drivers)
+
+
+@query(f"""
+with r as ({reports.SQL["trips_per_boat_dated"]})
+select 'json' as output, label, value from r union all select 'parquet', label, value from r""")
+def kept_outputs(spark, folder):
+    """One result kept while two outputs are written from it."""
+    path = work_path(spark, "outputs")
+    report = run("trips_per_boat", star(spark, folder), dashboard="activity", **reports.H1)
+    with kept(report) as rows:
+        rows.write.json(f"{path}/json")
+        rows.write.parquet(f"{path}/parquet")
+    schema = "label string, value bigint"
+    read = {"json": spark.read.schema(schema).json, "parquet": spark.read.schema(schema).parquet}
+    first, second = (
+        load(f"{path}/{name}").select(F.lit(name).alias("output"), "label", "value")
+        for name, load in read.items()
+    )
+    return first.unionByName(second)
 
 
 @query(reports.SQL["trips_per_boat"])

@@ -7,7 +7,7 @@ in whole numbers, so both engines get the same last digit.
 from __future__ import annotations
 
 from fleetboard.plans import run, stacked_dashboard
-from fleetboard.plans.reports import REAL_TRIP_CHECKS, SIZE_ORDER
+from fleetboard.plans.reports import DASHBOARDS, REAL_TRIP_CHECKS, SIZE_ORDER
 from fleetboard.schema import SAFETY_CHECKS, Tables
 
 from .adapter import star, table, with_views
@@ -106,6 +106,31 @@ def _duration(where: str) -> str:
     from timed where secs > 0 group by grouping sets ((day), ())"""
 
 
+def _inspections(where: str) -> str:
+    return f"""
+    select 'User #' || cast(inspectedby as varchar) as label, n as value from (
+      select inspectedby, count(*) as n from boattrip where inspectedby <> 0 and {where}
+      group by 1 order by n desc, inspectedby limit 15)"""
+
+
+def _tours(where: str) -> str:
+    return f"""
+    select islandtourtype as label, coalesce(cast(sum(boatamount) as double), 0) as value
+    from boattrip where islandtourtype is not null and islandtourtype <> '' and {where}
+    group by 1 order by sum(boatamount) desc nulls last, 1 limit 10"""
+
+
+def _capacity(where: str) -> str:
+    return f"""
+    select boatno as label, coalesce(boatcapacity, 0) as capacity,
+      coalesce(cast((20 * s + n) // nullif(2 * n, 0) as double) / 10, 0) as avg_passengers
+    from (
+      select b.boatid, b.boatno, b.boatcapacity, sum(t.noofpassengers) as s,
+        count(t.noofpassengers) as n
+      from boat b join boattrip t on t.boatid = b.boatid where {where}
+      group by 1, 2, 3 order by b.boatcapacity desc nulls last, b.boatid limit 15)"""
+
+
 AVAILABILITY = """
     select 'Available' as label, count(*) filter (where isavailable = 1) as value from boat
     union all
@@ -124,6 +149,14 @@ REAL = "status <> '0' and status is not null"
 H1 = {"start": "1996-01-01", "end": "1996-06-30"}
 H1_DEP = _between("departure", *H1.values())
 
+
+
+def _both(key: str, sql) -> None:
+    """A report over all trips, and over half a year."""
+    _report(key, key, sql("true"))
+    _report(f"{key}_dated", key, sql(H1_DEP), **H1)
+
+
 _report("monthly_revenue", "monthly_revenue", _monthly("true"))
 _report("monthly_revenue_dated", "monthly_revenue", _monthly(H1_DEP), **H1)
 _report("passenger_trends", "passenger_trends", _passengers("true"))
@@ -153,14 +186,7 @@ _report(
 )
 _report("safety_compliance", "safety_compliance", _safety(SAFETY_CHECKS, "true"))
 _report("safety_compliance_dated", "safety_compliance", _safety(SAFETY_CHECKS, H1_DEP), **H1)
-_report(
-    "inspections_by_personnel",
-    "inspections_by_personnel",
-    """
-    select 'User #' || cast(inspectedby as varchar) as label, n as value from (
-      select inspectedby, count(*) as n from boattrip where inspectedby <> 0
-      group by 1 order by n desc, inspectedby limit 15)""",
-)
+_both("inspections_by_personnel", _inspections)
 _report(
     "avg_speed_per_boat",
     "avg_speed_per_boat",
@@ -170,29 +196,12 @@ _report(
       from boat where iot_speedKnots is not null
       group by 1, 2 order by m desc, boatid limit 15)""",
 )
-_report(
-    "revenue_by_tour_type",
-    "revenue_by_tour_type",
-    """
-    select islandtourtype as label, coalesce(cast(sum(boatamount) as double), 0) as value
-    from boattrip where islandtourtype is not null and islandtourtype <> ''
-    group by 1 order by sum(boatamount) desc nulls last, 1 limit 10""",
-)
-_report(
-    "capacity_vs_passengers",
-    "capacity_vs_passengers",
-    """
-    select boatno as label, coalesce(boatcapacity, 0) as capacity,
-      coalesce(cast((20 * s + n) // nullif(2 * n, 0) as double) / 10, 0) as avg_passengers
-    from (
-      select b.boatid, b.boatno, b.boatcapacity, sum(t.noofpassengers) as s,
-        count(t.noofpassengers) as n
-      from boat b join boattrip t on t.boatid = b.boatid
-      group by 1, 2, 3 order by b.boatcapacity desc nulls last, b.boatid limit 15)""",
-)
-_report("payment_completion", "payment_completion", _paid("Completed", "Outstanding"))
+_both("revenue_by_tour_type", _tours)
+_both("capacity_vs_passengers", _capacity)
+_both("payment_completion", lambda where: _paid("Completed", "Outstanding", where))
 _report("avg_speed_by_size", "avg_speed_by_size", _speed_by_size())
-_report("peak_hours", "peak_hours", HOURS.format(ts="departure", src="boattrip"))
+_both("peak_hours", lambda where: HOURS.format(ts="departure", src=f"(select * from boattrip where {where})"))
+_report("monthly_revenue_blank", "monthly_revenue", _monthly("true"), start="", end="")
 
 # -- activity --------------------------------------------------------------------
 
@@ -303,65 +312,45 @@ SQL["bound_positional"] = with_views("""
 # -- whole dashboards in one frame ----------------------------------------------------
 
 
-def _stacked(dashboard: str, parts: dict[str, tuple[str, str]], **dates: str) -> None:
-    """``parts``: report to (query name holding its SQL, shown series name)."""
-    name = f"dashboard_{dashboard}"
+def _stacked(name: str, dashboard: str, found: dict[str, str], **dates: str) -> None:
+    """``found``: report to the query that holds its SQL."""
     QUERIES[name] = lambda spark, folder: stacked_dashboard(
         dashboard, star(spark, folder), **dates
     )
     selects = []
-    for key, (query, series, column) in parts.items():
-        selects.append(
+    for key, report in DASHBOARDS[dashboard].items():
+        names = {column: series or key for column, (series, _) in report.series.items()}
+        names |= {column: column for column in report.extra if column != "is_total"}
+        total = "is_total" if "is_total" in report.extra else "false"
+        selects += [
             f"select '{key}' as report, '{series}' as series, cast(label as varchar) as label,"
-            f" cast({column} as double) as value from ({SQL[query]})"
-        )
+            f" cast({column} as double) as value, {total} as is_total"
+            f" from ({SQL[found.get(key, key)]})"
+            for column, series in names.items()
+        ]
     SQL[name] = " union all ".join(selects)
 
 
-def _plainly(keys: dict[str, str]) -> dict[str, tuple[str, str, str]]:
-    return {key: (query, key, "value") for key, query in keys.items()}
-
-
 _stacked(
+    "dashboard_overview",
     "overview",
-    _plainly(
-        {
-            "trips_per_boat": "trips_per_boat_top10",
-            "monthly_revenue": "monthly_revenue_overview",
-            "revenue_by_size": "revenue_by_size_fixed",
-            "paid_unpaid": "paid_unpaid_overview",
-            "boat_availability": "boat_availability_overview",
-            "boat_size_distribution": "boat_size_distribution",
-            "top_drivers": "top_drivers_real",
-            "trips_by_status": "trips_by_status",
-            "avg_speed_by_size": "avg_speed_by_size_fixed",
-            "safety_compliance": "safety_compliance_real",
-        }
-    ),
-)
-_stacked(
-    "activity",
-    _plainly({k: k for k in ("trips_per_boat", "boat_availability", "boat_size", "trip_duration")}),
+    {
+        "trips_per_boat": "trips_per_boat_top10",
+        "monthly_revenue": "monthly_revenue_overview",
+        "revenue_by_size": "revenue_by_size_fixed",
+        "paid_unpaid": "paid_unpaid_overview",
+        "boat_availability": "boat_availability_overview",
+        "top_drivers": "top_drivers_real",
+        "avg_speed_by_size": "avg_speed_by_size_fixed",
+        "safety_compliance": "safety_compliance_real",
+    },
 )
-
-
-def dashboard_fleet(spark, folder):
-    return stacked_dashboard("fleet", star(spark, folder))
-
-
-def _fleet_sql() -> str:
-    from fleetboard.plans.reports import FLEET
-
-    selects = []
-    for key, report in FLEET.items():
-        for column, (series, _) in report.series.items():
-            selects.append(
-                f"select '{key}' as report, '{series or key}' as series,"
-                f" cast(label as varchar) as label, cast({column} as double) as value"
-                f" from ({SQL[key]})"
-            )
-    return " union all ".join(selects)
-
-
-QUERIES["dashboard_fleet"] = dashboard_fleet
-SQL["dashboard_fleet"] = _fleet_sql()
+_stacked("dashboard_activity", "activity", {})
+_stacked("dashboard_fleet", "fleet", {})
+
+# Under one filter; reports over boats alone have no dates.
+_report("passenger_trends_dated", "passenger_trends", _passengers(H1_DEP), **H1)
+_report("paid_unpaid_dated", "paid_unpaid", _paid("Paid", "Unpaid / Pending", H1_DEP), **H1)
+for _dashboard in ("activity", "fleet"):
+    _dated = {key: f"{key}_dated" for key in DASHBOARDS[_dashboard] if f"{key}_dated" in SQL}
+    _stacked(f"dashboard_{_dashboard}_dated", _dashboard, _dated, **H1)

@@ -59,6 +59,20 @@ def order_points(spark, folder):
     )
 
 
+def timed(spark, folder, series, y):
+    """Event values over the time column itself."""
+    events = table(spark, folder, "events")
+    return events.select(
+        F.col(series).alias("series"), F.col("ts").alias("x"), y.alias("y"),
+        F.col("event_id").alias("id"),
+    )
+
+
+def week():
+    """Both ends of one week."""
+    return [F.to_timestamp_ntz(F.lit(day)) for day in ("2024-01-08 00:00:00", "2024-01-15 00:00:00")]
+
+
 EVENTS = """events_p as (
   select event_type as series, epoch_us(ts) as x, value as y, event_id as id from events)"""
 USERS = """users_p as (
@@ -307,17 +321,35 @@ def gap_segments_spanned(spark, folder):
     return S.gap_segments(user_points(spark, folder), span_gaps=True)
 
 
-@query(f"""
-with {EVENTS},
-n as (select *, lag(x) over w as px, lead(x) over w as nx from events_p
-      window w as (partition by series order by x, id))
+@query("""
+with n as (
+  select event_type as series, ts as x, value as y, event_id as id,
+    lag(ts) over w as px, lead(ts) over w as nx
+  from events window w as (partition by event_type order by ts, event_id))
 select series, x, y, id from n
-where (x >= 1704672000000000 and x <= 1705276800000000)
-  or (x < 1704672000000000 and nx >= 1704672000000000)
-  or (x > 1705276800000000 and px <= 1705276800000000)""")
+where (x >= timestamp '2024-01-08' and x <= timestamp '2024-01-15')
+  or (x < timestamp '2024-01-08' and nx >= timestamp '2024-01-08')
+  or (x > timestamp '2024-01-15' and px <= timestamp '2024-01-15')""")
 def range_slice(spark, folder):
-    """One week and the points next to it."""
-    return S.range_slice(event_points(spark, folder), 1704672000000000, 1705276800000000)
+    """One week and the points next to it, by the bare time column."""
+    return S.range_slice(timed(spark, folder, "event_type", F.col("value")), *week())
+
+
+@query("""
+with u as (
+  select user_id as series, ts as x, case when value >= 20 then value end as y, event_id as id
+  from events),
+n as (select *, lag(x) over w as px, lead(x) over w as nx from u where y is not null
+      window w as (partition by series order by x, id))
+select series, x, y, id from u where x >= timestamp '2024-01-08' and x <= timestamp '2024-01-15'
+union all
+select series, x, y, id from n
+where (x < timestamp '2024-01-08' and nx >= timestamp '2024-01-08')
+  or (x > timestamp '2024-01-15' and px <= timestamp '2024-01-15')""")
+def range_slice_spanned(spark, folder):
+    """Neighbours across missing values."""
+    known = F.when(F.col("value") >= 20, F.col("value"))
+    return S.range_slice(timed(spark, folder, "user_id", known), *week(), span_gaps=True)
 
 
 @query(f"""
@@ -437,6 +469,21 @@ def time_rank_all(spark, folder):
     return S.time_rank(order_points(spark, folder), ())
 
 
+@query(f"""
+with {ORDERS}, d as (
+  select distinct series, x from orders_p where x between 820454400000000 and 820713600000000),
+n as (select *, count(*) over (partition by series) as n,
+        percent_rank() over (partition by series order by x) as position from d),
+f as (select series from orders_p group by 1
+      except select series from n where n > 1)
+select series, x, position from n where n > 1
+union all select series, 820454400000000, 0 from f
+union all select series, 820713600000000, 1 from f""")
+def time_rank_ends(spark, folder):
+    """Three days; a status with fewer than two times there has the ends."""
+    return S.time_rank(order_points(spark, folder), ends=(820454400000000, 820713600000000))
+
+
 @query(f"""
 with {ORDERS}, d as (select distinct x from orders_p),
 r as (select x, percent_rank() over (order by x) as p from d),
@@ -484,7 +531,7 @@ def label_index(spark, folder):
 
 
 @query("""
-with k as (select p_brand, min(p_partkey) as f from part where p_type <> 'PROMO' group by 1),
+with k as (select p_brand, min(p_partkey) as f from part where p_brand not like '%3' group by 1),
 a as (select p_brand as label, row_number() over (order by f) - 1 as i from k),
 n as (select p_brand as label, min(p_partkey) as f from part
       where p_brand not in (select label from a) group by 1),
@@ -494,9 +541,9 @@ w as (select label, i as position from a
 select p.p_partkey as i, p.p_brand as label, w.position
 from part p left join w on w.label = p.p_brand""")
 def label_positions(spark, folder):
-    """Parts on an axis of the brands that have a part that is no promotion."""
+    """All parts on an axis without the brands that end in 3, which follow."""
     part = table(spark, folder, "part")
-    brands = S.label_index(part.filter(F.col("p_type") != "PROMO"), "p_brand", "p_partkey")
+    brands = S.label_index(part.filter(~F.col("p_brand").like("%3")), "p_brand", "p_partkey")
     points = part.select(F.col("p_partkey").alias("i"), F.col("p_brand").alias("label"))
     return S.label_positions(points, brands.select("label", F.col("index").alias("i")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ordered import GROUP_ROWS, in_order
+from ..ordered import GROUP_ROWS, attach, in_order, match_keys
 
 
 def gap_segments(
@@ -36,29 +36,38 @@ def gap_segments(
     return runs.withColumn("segment", segment).drop("_px", "_phas", "_has")
 
 
-def range_slice(points: DataFrame, lo: float, hi: float) -> DataFrame:
+def range_slice(points: DataFrame, lo, hi, span_gaps: bool = False) -> DataFrame:
     """Points inside [lo, hi] and the nearest one beyond each end, so that a line
-    drawn through them reaches both edges.
+    drawn through them reaches both edges.  ``lo`` and ``hi`` are values or
+    columns of the type of ``x``.
 
-    The inside is a plain filter that prunes files.  A neighbour is an aggregate,
-    one row per series, so no series is ever sorted or brought together.  A point
-    beyond an end counts only if the line goes on from it towards the range.
+    A point beyond an end counts only if the line goes on from it towards the
+    range.  With ``span_gaps`` the line runs across missing values, so a neighbour
+    is the nearest point that has one.
+
+    Bounds compare the bare column, so every scan is pruned by them.  Neighbours
+    are one plain extreme per series, and their rows are fetched by (series, x):
+    no series is ever sorted or brought together.  Of points at the same nearest
+    x the one next to the range by ``id`` is taken.
     """
-    x = F.col("x")
-    names = points.columns
-    row = F.struct(F.col("x"), F.col("id"), *[F.col(c) for c in names if c not in ("x", "id")])
-    edges = points.groupBy("series").agg(
-        F.max(F.when(x < lo, row)).alias("_before"),
-        F.min(F.when(x > hi, row)).alias("_after"),
-        F.min("x").alias("_x0"),
-        F.max("x").alias("_x1"),
-    )
-    wanted = F.array(
-        F.when(F.col("_x1") >= lo, F.col("_before")), F.when(F.col("_x0") <= hi, F.col("_after"))
-    )
-    beyond = edges.select(F.explode(wanted).alias("p")).filter(F.col("p").isNotNull())
-    inside = points.filter((x >= lo) & (x <= hi))
-    return inside.unionByName(beyond.select(*[F.col("p")[c].alias(c) for c in names]))
+    x, y = F.col("x"), F.col("y")
+    within = (x >= lo) & (x <= hi)
+    drawn = points.filter(y.isNotNull() & ~F.isnan(y)) if span_gaps else points
+    below, above = drawn.filter(x < lo), drawn.filter(x > hi)
+    lows = below.groupBy("series").agg(F.max("x").alias("x"))
+    highs = above.groupBy("series").agg(F.min("x").alias("x"))
+    met = drawn.filter(within).select("series").distinct()
+
+    def neighbours(rows: DataFrame, own: DataFrame, other: DataFrame, pick) -> DataFrame:
+        goes_on = met.union(other.select("series")).distinct()
+        wanted = match_keys(own, goes_on, ["series"], "left_semi")
+        tied = attach(rows, wanted, ["series", "x"])
+        one = tied.groupBy("series").agg(pick(F.struct(*points.columns), F.col("id")).alias("p"))
+        return one.select(*[F.col("p")[c].alias(c) for c in points.columns])
+
+    inside = points.filter(within)
+    before = neighbours(below, lows, highs, F.max_by)
+    return inside.unionByName(before).unionByName(neighbours(above, highs, lows, F.min_by))
 
 
 def is_sorted(points: DataFrame, position: str = "id", group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -106,11 +106,31 @@ def _ranked(df: DataFrame, keys: Sequence[str], group_rows: int) -> DataFrame:
 
 
 def time_rank(
-    df: DataFrame, keys: Sequence[str] = ("series",), group_rows: int = GROUP_ROWS
+    df: DataFrame,
+    keys: Sequence[str] = ("series",),
+    group_rows: int = GROUP_ROWS,
+    ends: tuple | None = None,
 ) -> DataFrame:
-    """Each distinct time i of n at position i / (n - 1); 0 for a single time."""
+    """Each distinct time i of n at position i / (n - 1); 0 for a single time.
+
+    With ``ends`` (from, to) only times between them count, both included, and a
+    key with fewer than two such times has the ends themselves at 0 and 1.
+    """
     place = F.coalesce(F.try_divide(F.col("_i").cast("double"), F.col("_n") - 1), F.lit(0.0))
-    return _ranked(df, keys, group_rows).select(*keys, "x", place.alias("position"))
+    if ends is None:
+        return _ranked(df, keys, group_rows).select(*keys, "x", place.alias("position"))
+    kind = df.schema["x"].dataType
+    lo, hi = (F.lit(end).cast(kind) for end in ends)
+    inside = F.col("x").between(lo, hi)
+    many = _ranked(df.filter(inside), keys, group_rows).filter("_n > 1")
+    counted = F.when(inside, F.col("x"))
+    # Two different times or not: their extremes tell.
+    few = df.groupBy(*keys).agg(F.min(counted).alias("_lo"), F.max(counted).alias("_hi"))
+    few = few.filter(F.coalesce(F.col("_lo") == F.col("_hi"), F.lit(True)))
+    rows = [F.struct(end.alias("x"), F.lit(at).alias("position")) for end, at in ((lo, 0.0), (hi, 1.0))]
+    return many.select(*keys, "x", place.alias("position")).unionByName(
+        few.select(*keys, F.inline(F.array(*rows)))
+    )
 
 
 def time_positions(

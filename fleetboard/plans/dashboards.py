@@ -75,20 +75,28 @@ def open_dashboard(
 def stacked_dashboard(
     dashboard: str, tables: Tables, start: Day = None, end: Day = None
 ) -> DataFrame:
-    """All reports of a dashboard in one long frame: report, series, label, value.
+    """All reports of a dashboard in one long frame: report, series, label, value
+    and ``is_total``, which marks a total over all labels.
 
+    Counts that a report gives besides its series are series of their own name.
     One job computes them all, and what two reports need alike is shuffled once.
     """
+    if dashboard not in DASHBOARDS:
+        raise ValueError(f"unknown dashboard: {dashboard}")
     parts = []
     for key, report in DASHBOARDS[dashboard].items():
         frame = report.limited(tables, start, end)
-        for column, (name, _) in report.series.items():
+        names = {column: name or key for column, (name, _) in report.series.items()}
+        names |= {column: column for column in report.extra if column != "is_total"}
+        total = F.col("is_total") if "is_total" in report.extra else F.lit(False)
+        for column, name in names.items():
             parts.append(
                 frame.select(
                     F.lit(key).alias("report"),
-                    F.lit(name or key).alias("series"),
+                    F.lit(name).alias("series"),
                     F.col("label").cast("string").alias("label"),
                     F.col(column).cast("double").alias("value"),
+                    total.alias("is_total"),
                 )
             )
     return reduce(DataFrame.unionByName, parts)

@@ -194,7 +194,18 @@ def test_every_report_of_a_dashboard_with_and_without_kept_trips(tables):
 def test_stacked_dashboard(tables):
     got = stacked_dashboard("fleet", tables).collect()
     assert {r["report"] for r in got} == set(DASHBOARDS["fleet"])
-    assert ("paid_unpaid", "paid_unpaid", "Paid", 5.0) in [tuple(r) for r in got]
+    assert ("paid_unpaid", "paid_unpaid", "Paid", 5.0, False) in [tuple(r) for r in got]
+
+
+def test_stacked_dashboard_keeps_totals(tables):
+    got = stacked_dashboard("activity", tables).filter("report = 'trip_duration'").collect()
+    plain = run("trip_duration", tables, dashboard="activity").collect()
+    for column, series in (("value", "trip_duration"), ("trip_count", "trip_count")):
+        assert {(r["label"], r["value"], r["is_total"]) for r in got if r["series"] == series} == {
+            (r["label"], float(r[column]), r["is_total"]) for r in plain
+        }
+    with pytest.raises(ValueError):
+        stacked_dashboard("none", tables)
 
 
 def test_named_and_positional_parameters(tables):

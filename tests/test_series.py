@@ -275,6 +275,44 @@ def test_range_slice(spark, lo, hi):
     assert ids(got) == want and got.count() == len(want)
 
 
+def test_range_slice_across_missing_values(spark):
+    points = [
+        ("a", 1, 5.0, 1), ("a", 3, None, 2), ("a", 5, 6.0, 3), ("a", 8, float("nan"), 4),
+        ("a", 9, 7.0, 5), ("b", 2, 1.0, 6), ("b", 2, 2.0, 7), ("b", 9, 3.0, 8), ("c", 1, 1.0, 9),
+        (None, 2, 1.0, 10), (None, 7, None, 11), (None, 9, 4.0, 12),
+    ]
+    df = spark.createDataFrame(points, "series string, x bigint, y double, id bigint")
+    plain = {r["id"] for r in S.range_slice(df, 4, 6).collect()}
+    assert plain == {2, 3, 4, 7, 8, 10, 11}
+    spanned = {r["id"] for r in S.range_slice(df, 4, 6, span_gaps=True).collect()}
+    assert spanned == {1, 3, 5, 7, 8, 10, 12}
+    empty = df.filter("id < 0")
+    assert S.range_slice(empty, 4, 6, span_gaps=True).count() == 0
+
+
+def test_range_slice_bounds_reach_every_scan(spark, sf_dir):
+    from checks.series import timed, week
+    from pyspark.sql import functions as F
+
+    df = S.range_slice(timed(spark, sf_dir, "event_type", F.col("value")), *week())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "ReadSchema" in line]
+    scans = [line for line in scans if "events.parquet" in line]
+    assert scans
+    assert all("LessThan" in line or "GreaterThan" in line for line in scans)
+
+
+def test_time_rank_between_ends(spark):
+    df = spark.createDataFrame(
+        [("a", 1), ("a", 3), ("a", 5), ("a", 9), ("b", 4), ("b", 4), ("c", 9), ("d", None)],
+        "series string, x bigint",
+    )
+    got = {tuple(r) for r in S.time_rank(df, ends=(2, 9)).collect()}
+    assert got == {("a", 3, 0.0), ("a", 5, 0.5), ("a", 9, 1.0)} | {
+        (key, x, at) for key in "bcd" for x, at in ((2, 0.0), (9, 1.0))
+    }
+
+
 @pytest.mark.parametrize("group_rows", SIZES)
 def test_is_sorted(spark, group_rows):
     rows = [("up", k, 0.0, k) for k in range(40)] + [("down", 40 - k, 0.0, k) for k in range(40)]

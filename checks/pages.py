@@ -10,6 +10,7 @@ from fleetboard.plans import (
     metric_by_date,
     payload,
     payload_json,
+    payload_text,
     run,
     series_by_position,
     two_metrics,
@@ -167,18 +168,28 @@ def json_rows(spark, folder):
     return spark.read.schema("label string, value bigint").json(path)
 
 
-# -- payloads: written as JSON objects, read back and laid out as rows ----------------------
+# -- payloads: as JSON lines or as one JSON object, read back as rows -----------------------
 
-DATASETS = "labels array<string>, datasets array<struct<label string, type string, data array<double>>>"
+HEADER_AND_POINT = (
+    "points bigint, series array<struct<label string, type string>>, overall_avg double,"
+    " trip_count bigint, label string, values array<double>"
+)
+
+
+def _lines(spark, folder, key, **more):
+    """The records of a payload as JSON lines, written and read back."""
+    path = work_path(spark, "payload")
+    payload_json(payload(key, star(spark, folder), **more)).select("json").write.text(path)
+    rows = spark.read.schema(HEADER_AND_POINT).json(path)
+    return rows.filter(F.col("series").isNotNull()), rows.filter(F.col("series").isNull())
 
 
 def _datasets(spark, folder, key, **more):
-    texts = payload_json(payload(key, star(spark, folder), **more))
-    objects = texts.select(F.from_json("json", DATASETS).alias("o")).select("o.*")
-    rows = objects.select("labels", F.explode("datasets").alias("d")).select(
-        F.col("d.label").alias("series"), F.explode(F.arrays_zip("labels", "d.data")).alias("p")
-    )
-    return rows.select("series", F.col("p.labels").alias("label"), F.col("p.data").alias("value"))
+    """(series, label, value) of the points; names come from the header."""
+    head, points = _lines(spark, folder, key, **more)
+    names = head.select(F.posexplode("series").alias("i", "s")).select("i", F.col("s.label").alias("series"))
+    values = points.select("label", F.posexplode("values").alias("i", "value"))
+    return values.join(names, "i").select("series", "label", "value")
 
 
 @query(f"""
@@ -201,14 +212,9 @@ select label, value, cast(row_number() over (order by n desc, id) - 1 as bigint)
   {reports.SQL["trips_per_boat"].replace("select boatno as label, n as value from",
                                          "select boatno as label, n as value, n, boatid as id from")})""")
 def payload_trips_per_boat(spark, folder):
-    """Cut into objects of 100 points, which together keep the report's order."""
-    rows = payload("trips_per_boat", star(spark, folder), dashboard="activity", chunk=100)
-    zipped = rows.select("chunk", F.posexplode(F.arrays_zip("labels", "data")).alias("i", "p"))
-    return zipped.select(
-        F.col("p.labels").alias("label"),
-        F.col("p.data").alias("value"),
-        (F.col("chunk") * 100 + F.col("i")).alias("place"),
-    )
+    """Places keep the report's order."""
+    rows = payload("trips_per_boat", star(spark, folder), dashboard="activity")
+    return rows.filter(F.col("place") >= 0).select("label", F.col("values")[0].alias("value"), "place")
 
 
 @query(f"""
@@ -216,26 +222,34 @@ with r as ({reports.SQL["trip_duration"]}), t as (select value, trip_count from
 select r.label, r.value, t.value as overall_avg, t.trip_count
 from r cross join t where not r.is_total""")
 def payload_trip_duration(spark, folder):
-    rows = payload_json(payload("trip_duration", star(spark, folder), dashboard="activity"))
-    schema = "labels array<string>, data array<double>, overall_avg double, trip_count bigint"
-    objects = rows.select(F.from_json("json", schema).alias("o")).select("o.*")
-    zipped = objects.select(
-        F.explode(F.arrays_zip("labels", "data")).alias("p"), "overall_avg", "trip_count"
-    )
-    return zipped.select(
-        F.col("p.labels").alias("label"), F.col("p.data").alias("value"), "overall_avg", "trip_count"
-    )
+    """Two numbers of the header beside the points."""
+    head, points = _lines(spark, folder, "trip_duration", dashboard="activity")
+    one = head.select("overall_avg", "trip_count", F.lit(1).alias("k"))
+    named = points.select("label", F.col("values")[0].alias("value"), F.lit(1).alias("k"))
+    return named.join(F.broadcast(one), "k").drop("k")  # a header is one row
 
 
 @query("select boatsize as label, count(*) as value from ({}) group by 1".format(
     reports.with_views("select * from boat")))
 def payload_boat_sizes(spark, folder):
     """Labels may be NULL."""
-    rows = payload_json(
-        payload("boat_size_distribution", star(spark, folder), dashboard="overview")
-    )
-    objects = rows.select(
-        F.from_json("json", "labels array<string>, data array<bigint>").alias("o")
+    _, points = _lines(spark, folder, "boat_size_distribution", dashboard="overview")
+    return points.select("label", F.col("values")[0].cast("bigint").alias("value"))
+
+
+@query(f"""
+with r as ({reports.SQL["capacity_vs_passengers"]})
+select count(*) as labels, count(*) as capacities, count(*) as passengers,
+  sum(capacity) as capacity from r""")
+def payload_object(spark, folder):
+    """The one JSON object of a report, from its lines: lengths of its arrays."""
+    lines = payload_text("capacity_vs_passengers", star(spark, folder))
+    # A check of the whole text, so here it is joined; boats are few next to trips.
+    text = lines.agg(F.listagg("text")).toDF("json")
+    data = "struct<label string, type string, data array<double>>"
+    o = text.select(F.from_json("json", f"labels array<string>, datasets array<{data}>").alias("o")).select("o.*")
+    first, second = F.col("datasets")[0]["data"], F.col("datasets")[1]["data"]
+    return o.select(
+        F.size("labels").alias("labels"), F.size(first).alias("capacities"), F.size(second).alias("passengers"),
+        F.aggregate(first, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))).alias("capacity"),
     )
-    zipped = objects.select(F.explode(F.arrays_zip("o.labels", "o.data")).alias("p"))
-    return zipped.select(F.col("p.labels").alias("label"), F.col("p.data").alias("value"))

@@ -1,6 +1,6 @@
 from .dashboards import kept, open_dashboard, run_dashboard, stacked_dashboard
 from .pages import metric_by_date, series_by_position, two_metrics
-from .payload import payload, payload_json
+from .payload import payload, payload_json, payload_text
 from .reports import DASHBOARDS, find, run
 
 __all__ = [
@@ -11,6 +11,7 @@ __all__ = [
     "open_dashboard",
     "payload",
     "payload_json",
+    "payload_text",
     "run",
     "run_dashboard",
     "series_by_position",

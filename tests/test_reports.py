@@ -9,6 +9,7 @@ from fleetboard.plans import (
     open_dashboard,
     payload,
     payload_json,
+    payload_text,
     run,
     run_dashboard,
     stacked_dashboard,
@@ -221,42 +222,55 @@ def test_named_and_positional_parameters(tables):
 # -- payloads ---------------------------------------------------------------------------------
 
 
-def objects(df):
-    return [json.loads(r["json"]) for r in payload_json(df).orderBy("chunk").collect()]
+def records(df):
+    head, *points = [json.loads(r["json"]) for r in payload_json(df).orderBy("place").collect()]
+    return head, points
+
+
+def whole(*args, **more):
+    return json.loads("".join(r["text"] for r in payload_text(*args, **more).collect()))
 
 
 def test_payload_with_datasets(tables):
-    (one,) = objects(payload("capacity_vs_passengers", tables))
-    assert one["labels"][:2] == ["B-2", "B-4"]
-    assert [d["label"] for d in one["datasets"]] == ["Capacity", "Avg Passengers"]
-    assert [d["type"] for d in one["datasets"]] == ["bar", "line"]
-    assert one["datasets"][1]["data"][:2] == [1.0, 3.0]
+    head, points = records(payload("capacity_vs_passengers", tables))
+    assert head["series"] == [
+        {"label": "Capacity", "type": "bar"}, {"label": "Avg Passengers", "type": "line"}]
+    assert head["points"] == len(points)
+    assert [p["label"] for p in points][:2] == ["B-2", "B-4"]
+    assert [p["values"][1] for p in points][:2] == [1.0, 3.0]
+    one = whole("capacity_vs_passengers", tables)
+    assert one["labels"] == [p["label"] for p in points]
+    assert [(d["label"], d["type"]) for d in one["datasets"]] == [("Capacity", "bar"), ("Avg Passengers", "line")]
+    assert [list(v) for v in zip(*[d["data"] for d in one["datasets"]])] == [p["values"] for p in points]
 
 
 def test_payload_with_scalars(tables, empty):
-    (one,) = objects(payload("trip_duration", tables, dashboard="activity"))
-    assert one == {"labels": ["2026-01-05", "2026-02-04", "2026-03-02"], "data": [1.25] * 3,
-                   "overall_avg": 1.25, "trip_count": 4}
-    (none,) = objects(payload("trip_duration", empty, dashboard="activity"))
-    assert none == {"labels": [], "data": [], "overall_avg": 0.0, "trip_count": 0}
+    days = ["2026-01-05", "2026-02-04", "2026-03-02"]
+    head, points = records(payload("trip_duration", tables, dashboard="activity"))
+    assert (head["points"], head["overall_avg"], head["trip_count"]) == (3, 1.25, 4)
+    assert points == [{"label": d, "values": [1.25]} for d in days]
+    assert whole("trip_duration", tables, dashboard="activity") == {
+        "labels": days, "data": [1.25] * 3, "overall_avg": 1.25, "trip_count": 4}
+    assert whole("trip_duration", empty, dashboard="activity") == {
+        "labels": [], "data": [], "overall_avg": 0.0, "trip_count": 0}
 
 
 @pytest.mark.parametrize("group_rows", [1_000_000, 2])
-def test_payload_in_chunks_keeps_order(tables, group_rows):
-    whole = [r[0] for r in rows("trips_per_boat", tables, dashboard="activity")]
-    cut = objects(payload("trips_per_boat", tables, dashboard="activity", chunk=2,
-                          group_rows=group_rows))
-    assert [len(o["labels"]) for o in cut] == [2, 2, 2]
-    assert [x for o in cut for x in o["labels"]] == whole
+def test_payload_keeps_order(tables, group_rows):
+    order = [r[0] for r in rows("trips_per_boat", tables, dashboard="activity")]
+    head, points = records(payload("trips_per_boat", tables, dashboard="activity", group_rows=group_rows))
+    assert [p["label"] for p in points] == order and head["points"] == len(order)
 
 
 def test_payload_of_nothing(empty):
-    assert objects(payload("monthly_revenue", empty))[0]["labels"] == []
+    head, points = records(payload("monthly_revenue", empty))
+    assert points == [] and head["points"] == 0
+    assert whole("monthly_revenue", empty)["labels"] == []
 
 
 def test_null_label_in_payload(tables):
-    (one,) = objects(payload("boat_size_distribution", tables, dashboard="overview"))
-    assert one == {"labels": [None, "Giant", "Small", "Medium", "Large"], "data": [1, 1, 2, 2, 1]}
+    assert whole("boat_size_distribution", tables, dashboard="overview") == {
+        "labels": [None, "Giant", "Small", "Medium", "Large"], "data": [1, 1, 2, 2, 1]}
 
 
 def test_sums_of_the_largest_amounts(spark):

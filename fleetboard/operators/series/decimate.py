@@ -48,34 +48,23 @@ def min_max_decimate(points: DataFrame, width: int, threshold: int | None = None
     )
     short = placed.filter("_whole").select(*COLUMNS)
 
-    # Two steps over plain numbers instead of one over (y, x, id) structs: the
-    # extremes of each column aggregate in a hash table without sorting, and only
-    # rows equal to an extreme go on to have their ties settled.
-    long = placed.filter(~F.col("_whole"))
-    extremes = long.groupBy("series", "_col").agg(
-        F.min("x").alias("_first"),
-        F.max("x").alias("_last"),
-        F.min(y).alias("_low"),
-        F.max(y).alias("_high"),
-        F.max("_at_end").alias("_end"),
-    )
-    candidates = attach(long, extremes, ["series", "_col"]).filter(
-        (F.col("x") == F.col("_first"))
-        | (~F.col("_end") & (F.col("x") == F.col("_last")))
-        | (~F.col("_end") & ((F.col("y") == F.col("_low")) | (F.col("y") == F.col("_high"))))
-    )
+    # One aggregate, partial in every task: only cells are shuffled, whatever the
+    # number of series, and the points are read once more for the short series alone.
     point = F.struct("x", "id", "y")
-    by_y = y.isNotNull()
-    kept = candidates.groupBy("series", "_col").agg(
-        F.min(point).alias("first"),
-        F.max(F.when(~F.col("_end"), point)).alias("last"),
-        F.min_by(point, F.when(by_y & ~F.col("_end"), F.struct("y", "x", "id"))).alias("low"),
-        F.max_by(
-            point, F.when(by_y & ~F.col("_end"), F.struct("y", -F.col("x"), -F.col("id")))
-        ).alias("high"),
+    kept = (
+        placed.filter(~F.col("_whole"))
+        .groupBy("series", "_col")
+        .agg(
+            F.min(point).alias("first"),
+            F.max(point).alias("last"),
+            F.min_by(point, F.when(y.isNotNull(), F.struct("y", "x", "id"))).alias("low"),
+            F.max_by(point, F.when(y.isNotNull(), F.struct("y", -F.col("x"), -F.col("id")))).alias("high"),
+            F.max("_at_end").alias("_end"),
+        )
     )
+    inside = F.array_distinct(F.array("first", "low", "high", "last"))
     rows = kept.select(
-        "series", F.explode(F.array_distinct(F.array("first", "low", "high", "last"))).alias("p")
+        "series", F.explode(F.when(F.col("_end"), F.array("first")).otherwise(inside)).alias("p")
     ).filter(F.col("p").isNotNull())
     return short.unionByName(rows.select("series", "p.x", "p.y", "p.id"))
 

@@ -130,6 +130,35 @@ def lttb_decimate(spark, folder):
     return S.lttb_decimate(event_points(spark, folder), WIDTH)
 
 
+NAN_EVENTS = EVENTS.replace("value as y", "case when value < 60 then value end as y")
+
+
+@query(
+    SQL["minmax_decimate"]
+    .replace(EVENTS, NAN_EVENTS)
+    .replace("select series, x, y, id from k", "select series, x, coalesce(y, -1) as y, id from k")
+    .replace("a3 = 1 or a4 = 1", "(y is not null and (a3 = 1 or a4 = 1))")
+)
+def minmax_nan(spark, folder):
+    """High values are NaN, which is no extreme; shown as -1 where such a point is kept."""
+    y = F.when(F.col("y") < 60, F.col("y")).otherwise(F.lit(float("nan")))
+    kept = S.min_max_decimate(event_points(spark, folder).withColumn("y", y), WIDTH)
+    return kept.withColumn("y", F.when(F.isnan("y"), -1.0).otherwise(F.col("y")))
+
+
+@query(SQL["lttb_decimate"].replace("epoch_us(ts) as x", "epoch_us(ts) + 1 as x").replace("value as y", "coalesce(value, 0) as y"))
+def lttb_computed(spark, folder):
+    """Columns that are computed and so declared without NULLs."""
+    points = event_points(spark, folder)
+    solid = points.select(
+        F.coalesce("series", F.lit("")).alias("series"),
+        (F.coalesce("x", F.lit(0)) + 1).alias("x"),
+        F.coalesce("y", F.lit(0.0)).alias("y"),
+        F.coalesce("id", F.lit(0)).cast("bigint").alias("id"),
+    )
+    return S.lttb_decimate(solid, WIDTH)
+
+
 # -- stacks and shares --------------------------------------------------------------
 
 

@@ -69,6 +69,9 @@ def min_max_decimate(points: DataFrame, width: int, threshold: int | None = None
     return short.unionByName(rows.select("series", "p.x", "p.y", "p.id"))
 
 
+HULL_DEALS = 16  # tasks that share the corners of a bucket before they are merged
+
+
 # -- largest triangle ---------------------------------------------------------------
 
 
@@ -93,6 +96,12 @@ def _nullable(fields: list[T.StructField]) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
 
 
+def _merged(corners: DataFrame, *by: str) -> DataFrame:
+    """Corners of what lies together under ``by``."""
+    met = corners.repartition(*by).sortWithinPartitions("series", "bucket", "x", "id")
+    return met.mapInArrow(hulls, _nullable(corners.schema.fields))
+
+
 def lttb_decimate(
     points: DataFrame,
     width: int,
@@ -105,7 +114,9 @@ def lttb_decimate(
 
     A series of up to ``threshold`` points (four per unit of width if not given)
     or up to ``samples`` points is returned whole.  Points without a finite
-    ``x`` or ``y`` are left out.
+    ``x`` or ``y`` are left out.  The last, sequential pass streams over a series'
+    hull corners in one task, with one point of state: on noisy data few per
+    bucket, at worst (a convex curve) every point of the series.
     """
     samples = samples or width
     limit = max(4 * width if threshold is None else threshold, samples)
@@ -149,13 +160,12 @@ def lttb_decimate(
             (F.sum("sy") / F.sum("n")).alias("ny"),
         )
     )
-    # Once more with the corners of a bucket brought together.
+    # The corners of a bucket are brought together in two rounds, of which the first
+    # deals those of a hot bucket over several tasks: the hull of hulls is the same.
     corners = points.filter((here >= 0) & (here < inner))
-    corners = (
-        corners.repartition("series", "bucket")
-        .sortWithinPartitions("series", "bucket", "x", "id")
-        .mapInArrow(hulls, _nullable(corners.schema.fields))
-    )
+    dealt = corners.withColumn("_deal", F.pmod(F.hash("x", "id"), F.lit(HULL_DEALS)))
+    corners = _merged(dealt, "series", "bucket", "_deal").drop("_deal")
+    corners = _merged(corners, "series", "bucket")
     chain = points.filter(here == -1).unionByName(corners)
     ahead = match_keys(chain, means, ["series", "bucket"], "left")
     chosen = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, contamination, language, lines, near, pieces, quality, ring, tokens, toxicity
+from . import chunking, contamination, language, lines, near, periodic, pieces, quality, ring, tokens, toxicity
 from .common import held_out, table
 
 
@@ -133,5 +133,59 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {q.__name__: q for q in (op1_fingerprints, op2_pieces, op3_near, op4_ring, op5_tokens, op6_contamination, op7_toxicity, op8_quality, op9_lines, op10_language)}
-SQL: dict[str, str] = {"op3_near": NEAR_SQL, "op6_contamination": CONTAMINATION_SQL}
+# The CRC-32 of the UTF-8 of a text, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(generate_series(1, octet_length(encode({0}))),
+      lambda k: ('0x' || substr(hex(encode({0})), 2 * k - 1, 2))::bigint)),
+    lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))))"""
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, one in ten with a repeated tail."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = periodic.find_runs(periodic.with_repeated_tails(docs)).withColumn("best", periodic.longest_run(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(listed, lambda line: F.concat(line, F.lit("\n"))), "")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+RUNS_SQL = rf"""
+with t as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+    {CRC_SQL.format("cast(doc_id as varchar)")} as h from documents),
+a as (select *, len(w) as n, h // 10 as g, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a from t),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+e as (
+  select doc_id, n, case when a is null then w
+    else list_concat(w[:a], flatten(list_transform(generate_series(0, (n - a) // p), lambda k: w[a + 1:a + p])))[:n] end as w
+  from p),
+x as (select doc_id, n, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from e),
+m as (
+  select a.doc_id, a.i, b.i - a.i as q from x a join x b on a.doc_id = b.doc_id and a.word = b.word and b.i > a.i
+  where 4 * (b.i - a.i) <= a.n),
+s as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as part from m),
+r as (
+  select doc_id, q, min(i) as start, count(*) + q as length from s
+  group by doc_id, q, part having count(*) + q >= greatest(6, 4 * q)),
+u as (select doc_id, start, length, min(q) as q from r group by all),
+k as (
+  select x.doc_id, string_agg(word, ' ' order by i) as kept from x
+  where not exists (select 1 from u where u.doc_id = x.doc_id and x.i >= u.start + u.q and x.i < u.start + u.length)
+  group by x.doc_id),
+g as (
+  select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' order by start, q) as listed,
+    arg_max(u, row(length, -start, -q)) as best from u group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, best.start as start, best.length as length, best.q as period,
+  1000 * best.length // best.q as exponent_milli,
+  sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from documents d left join g on g.doc_id = d.doc_id left join k on k.doc_id = d.doc_id"""
+
+
+QUERIES = {q.__name__: q for q in (op1_fingerprints, op2_pieces, op3_near, op4_ring, op5_tokens, op6_contamination, op7_toxicity, op8_quality, op9_lines, op10_language, op11_runs)}
+SQL: dict[str, str] = {"op3_near": NEAR_SQL, "op6_contamination": CONTAMINATION_SQL, "op11_runs": RUNS_SQL}

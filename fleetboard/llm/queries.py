@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, contamination, language, lines, near, periodic, pieces, quality, ring, tokens, toxicity
+from . import chunking, contamination, language, lines, near, periodic, pieces, quality, ring, spelling, tokens, toxicity
 from .common import held_out, table
 
 
@@ -187,5 +187,45 @@ select d.doc_id, coalesce(n_runs, 0) as n_runs, best.start as start, best.length
 from documents d left join g on g.doc_id = d.doc_id left join k on k.doc_id = d.doc_id"""
 
 
-QUERIES = {q.__name__: q for q in (op1_fingerprints, op2_pieces, op3_near, op4_ring, op5_tokens, op6_contamination, op7_toxicity, op8_quality, op9_lines, op10_language, op11_runs)}
-SQL: dict[str, str] = {"op3_near": NEAR_SQL, "op6_contamination": CONTAMINATION_SQL, "op11_runs": RUNS_SQL}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and roots of all words of seven letters or more, some with a letter lost."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"), slip=31)
+
+
+SPELLING_SQL = rf"""
+with recursive t as (
+  select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as raw from documents where text is not null),
+l as (
+  select doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as raw, count(*) as n
+  from t where length(raw) >= 7 group by all),
+h as (select *, doc_id || ':' || raw as named from l),
+c as (select raw, n, {CRC_SQL.format("named")} as h from h),
+w as (
+  select case when h % 31 = 0 then substr(raw, 1, h % length(raw)) || substr(raw, h % length(raw) + 2) else raw end as word,
+    sum(n)::bigint as n
+  from c group by all),
+v as (select word, n from w where length(word) >= 7 and n >= 2),
+d as (
+  select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as key
+  from (select word, n, unnest(generate_series(1, length(word))) as i from v)),
+p as (
+  select a.word as a, b.word as b, b.n from d a join d b on a.key = b.key and a.i = b.i and a.word <> b.word
+  union
+  select a.word, b.word, b.n from d a join v b on a.key = b.word
+  union
+  select b.word, a.word, a.n from d a join v b on a.key = b.word),
+k as (select a, count(*) as n_near, max(n) as top from p group by a),
+m as (select k.a, n_near, top, min(p.b) as best from k join p on p.a = k.a and p.n = k.top group by all),
+f as (
+  select v.word, v.n, coalesce(n_near, 0) as n_near, case when top >= 10 * v.n then best end as form,
+    case when top >= 10 * v.n then top end as form_n
+  from v left join m on m.a = v.word),
+r as (
+  select word, word as root, form as onward from f
+  union all
+  select r.word, r.onward, f.form from r join f on f.word = r.onward)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n from f join r on r.word = f.word and r.onward is null"""
+
+
+QUERIES = {q.__name__: q for q in (op1_fingerprints, op2_pieces, op3_near, op4_ring, op5_tokens, op6_contamination, op7_toxicity, op8_quality, op9_lines, op10_language, op11_runs, op12_spelling)}
+SQL: dict[str, str] = {"op3_near": NEAR_SQL, "op6_contamination": CONTAMINATION_SQL, "op11_runs": RUNS_SQL, "op12_spelling": SPELLING_SQL}

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetboard.llm import periodic
 
@@ -81,8 +82,8 @@ def test_find_runs_of_awkward_rows(spark):
         assert r["n_words"] == len(words)
     by = {r["doc_id"]: r for r in got}
     assert by[50]["collapsed"] == "a b c d" and by[50]["_doc"] == "c"
-    best = periodic.longest_run(periodic.find_runs(docs)["runs"])
-    top = {r["doc_id"]: r["b"] for r in periodic.find_runs(docs).select("doc_id", best.alias("b")).collect()}
+    best = periodic.longest_run(F.col("runs")).alias("b")
+    top = {r["doc_id"]: r["b"] for r in periodic.find_runs(docs).select("doc_id", best).collect()}
     assert tuple(top[50]) == (0, 14, 2) and top[4] is None
     assert periodic.find_runs(docs.limit(0)).count() == 0
 

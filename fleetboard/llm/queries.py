@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, contamination, language, lines, near, periodic, pieces, quality, ring, spelling, tokens, toxicity
+from . import chunking, contamination, fertility, language, lines, near, periodic, pieces, quality, ring, spelling, tokens, toxicity
 from .common import held_out, table
 
 
@@ -227,5 +227,12 @@ r as (
 select f.word, f.form, r.root, f.n, f.n_near, f.form_n from f join r on r.word = f.word and r.onward is null"""
 
 
-QUERIES = {q.__name__: q for q in (op1_fingerprints, op2_pieces, op3_near, op4_ring, op5_tokens, op6_contamination, op7_toxicity, op8_quality, op9_lines, op10_language, op11_runs, op12_spelling)}
+def op13_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain counts of every document, and whether rules and fertility bands keep it."""
+    return fertility.rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "outside"
+    )
+
+
+QUERIES = {q.__name__: q for q in (op1_fingerprints, op2_pieces, op3_near, op4_ring, op5_tokens, op6_contamination, op7_toxicity, op8_quality, op9_lines, op10_language, op11_runs, op12_spelling, op13_fertility)}
 SQL: dict[str, str] = {"op3_near": NEAR_SQL, "op6_contamination": CONTAMINATION_SQL, "op11_runs": RUNS_SQL, "op12_spelling": SPELLING_SQL}

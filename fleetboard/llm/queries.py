@@ -63,6 +63,7 @@ def op4_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document before and after two edits of its text: near
     a third of it a stretch is replaced by the text's start, in the middle one goes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = F.length("text")
     third, half = F.floor(n / 3), F.floor(n / 2)
     edits = F.array(
@@ -72,8 +73,7 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.struct(half.cast("int").alias("start"), (half + F.floor(n / 64)).cast("int").alias("stop"), F.lit("").alias("text")),
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
-    rows = tokens.apply_edits(tokens.plant(docs))
+    rows = tokens.apply_edits(tokens.plant(docs.withColumn("edits", edits)), leaves=False)
     return rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
 
 

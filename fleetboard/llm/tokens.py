@@ -179,7 +179,8 @@ class Tree:
 
 def plant(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, text, edits, sizes, counts): the leaves of every document's tree,
-    with the texts and edits they belong to.  NULL counts as the empty text."""
+    with the texts and edits they belong to.  NULL counts as the empty text; equal
+    rows give equal trees, and no rows none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -199,15 +200,23 @@ def plant(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 EDITED = "doc_id long, pieces long, n_tokens long, edited_tokens long, encoded long, edited string"
+LEAVES = "sizes array<int>, counts array<int>"
 
 
-def apply_edits(trees: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, pieces, n_tokens, edited_tokens, encoded, edited): the counts before
-    and after the edits, which apply one after another, the pre-tokens that were
-    encoded for them, and the edited text.  A NULL edit list is no edit."""
+def apply_edits(trees: DataFrame, path: str = VOCABULARY, leaves: bool = True) -> DataFrame:
+    """(doc_id, pieces, n_tokens, edited_tokens, encoded, edited, sizes, counts): the
+    counts before and after the edits, which apply one after another, the pre-tokens
+    that were encoded for them, the edited text and the leaves of its tree.
+
+    A NULL edit list is no edit, a NULL text the empty text, a NULL place the text's
+    start; places beyond the text are its end.  Without ``leaves`` only the counts
+    and the text are given; with them :func:`kept` goes on to a next batch of edits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        kinds = [pa.int64()] * 5 + [pa.string()] + [pa.list_(pa.int32())] * 2 * leaves
+        names = ["doc_id", "pieces", "n_tokens", "edited_tokens", "encoded", "edited"] + ["sizes", "counts"] * leaves
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 out = []
@@ -215,20 +224,28 @@ def apply_edits(trees: DataFrame, path: str = VOCABULARY) -> DataFrame:
                     tree = Tree(row["sizes"], row["counts"])
                     before, text = tree.total, row["text"] or ""
                     for e in row["edits"] or ():
-                        text = tree.edit(text, e["start"], e["stop"], e["text"] or "", enc)
-                    out.append((row["doc_id"], len(row["sizes"]), before, tree.total, tree.encoded, text))
-                kinds = [pa.int64()] * 5 + [pa.string()]
-                names = ["doc_id", "pieces", "n_tokens", "edited_tokens", "encoded", "edited"]
+                        text = tree.edit(text, e["start"] or 0, e["stop"] or 0, e["text"] or "", enc)
+                    values = [row["doc_id"], len(row["sizes"]), before, tree.total, tree.encoded, text]
+                    if leaves:
+                        values += [[x for s, _ in tree.leaves for x in s], [x for _, c in tree.leaves for x in c]]
+                    out.append(values)
                 columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return trees.transform(small_batches).mapInArrow(run, EDITED)
+    return trees.transform(small_batches).mapInArrow(run, f"{EDITED}, {LEAVES}" if leaves else EDITED)
+
+
+def kept(edited: DataFrame, edits: DataFrame) -> DataFrame:
+    """The trees that :func:`apply_edits` left, with a next batch of edits (see
+    :func:`with_edits`), ready for it again: nothing is cut or encoded anew."""
+    return with_edits(edited.select("doc_id", F.col("edited").alias("text"), "sizes", "counts"), edits)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """(doc_id, text, edits): documents with their edits from a table (doc_id, seq, start, stop, text), in
-    the order of ``seq``."""
-    docs = docs.select("doc_id", "text")
+    """``docs`` with their ``edits`` from a table (doc_id, seq, start, stop, text), in
+    the order of ``seq``; of ``docs`` the columns doc_id, text and, if there, the
+    leaves stay.  A document without edits, or of NULL id, has a NULL list."""
+    docs = docs.select("doc_id", "text", *[c for c in ("sizes", "counts") if c in docs.columns])
     each = edits.groupBy(F.col("doc_id").alias("_e")).agg(
         F.array_sort(F.collect_list(F.struct("seq", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), "text"))).alias("edits")
     )

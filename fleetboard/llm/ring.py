@@ -2,8 +2,9 @@
 
 Every shard owns ``vnodes`` points of the ring; a key belongs to the next point
 clockwise.  A shard takes rows up to its capacity, and what does not fit goes
-on clockwise to the next shard with room.  Only counts of arcs and cells of the
-ring, a fixed number of them, reach the driver; rows are never gathered.
+on clockwise to the next shard with room.  Only the counts of the ring's arcs, a
+fixed number of them, reach the driver.  Rows are numbered in cells of the ring,
+of which there are as many as the count of rows asks for.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free
+
 BITS = 48
+CELL_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -78,53 +82,54 @@ def place(counts: list[int], owners: tuple[int, ...], caps: list[int]) -> list[t
 
 
 def shard(
-    df: DataFrame, key: str, shards: int = 16, vnodes: int = 64, load_factor: float = 1.0, cells: int = 4096
+    df: DataFrame, key: str, shards: int = 16, vnodes: int = 64, load_factor: float = 1.0, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """Add ``home_shard`` (the ring's choice), ``shard`` and ``slot`` (its place in
     the shard, from 0 without gaps).
 
-    ``cells`` bounds the groups that are numbered together: a cell holds rows /
-    cells of the ring, so raise it with the table.  NULL keys share one point of
-    the ring; rows of equal key are told apart by the other columns, and equal
-    rows are interchangeable.  Columns of these names in ``df`` are replaced; an
-    empty frame gives no rows.
+    Rows of a cell, about ``cell_rows`` of them at most, are numbered together.  NULL
+    keys share one point of the ring; rows of equal key are told apart by the other
+    columns, and equal rows are interchangeable.  Columns of the three names in
+    ``df`` are replaced, all others stay; an empty frame gives no rows.
     """
     ring = Ring.of(shards, vnodes)
     df = df.drop("home_shard", "shard", "slot")
-    shift = BITS - (cells - 1).bit_length()
-    top = float(1 << BITS)
-    splits = [0.0, *(float(p) for p in ring.points if p), top]
+    pos, at, bucket, arc, cell, rank, base, lo, hi, first_slot = (
+        free(df, f"_ring_{c}") for c in ("pos", "at", "bucket", "arc", "cell", "rank", "base", "lo", "hi", "slot")
+    )
+    splits = [0.0, *(float(p) for p in ring.points if p), float(1 << BITS)]
     first = 1 if ring.points[0] == 0 else 0
     arcs = len(ring.points)
 
     def on_ring(d: DataFrame) -> DataFrame:
-        d = d.withColumn("_pos", F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(11)), 64 - BITS))
-        d = d.withColumn("_at", F.col("_pos").cast("double"))
-        d = Bucketizer(splits=splits, inputCol="_at", outputCol="_b").transform(d)
-        return d.withColumns(
-            {"_arc": (F.col("_b").cast("int") + first) % arcs, "_cell": F.shiftright("_pos", shift).cast("int")}
-        ).drop("_at", "_b")
-
-    seen = on_ring(df.select(key)).groupBy("_arc", "_cell").count().collect()
+        d = d.withColumn(pos, F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(11)), 64 - BITS))
+        d = d.withColumn(at, F.col(pos).cast("double"))
+        d = Bucketizer(splits=splits, inputCol=at, outputCol=bucket).transform(d)
+        return d.withColumn(arc, (F.col(bucket).cast("int") + first) % arcs).drop(at, bucket)
+
     per_arc = [0] * arcs
-    # The last arc wraps past the top: its cells go on from those before it, in this order.
-    cuts: dict[int, list[tuple[int, int, int]]] = {}
-    for arc, cell, n in sorted(map(tuple, seen)):
-        cuts.setdefault(arc, []).append((cell, per_arc[arc], per_arc[arc] + n))
-        per_arc[arc] += n
-    rows = [
-        (arc, cell, max(lo, a) - a, min(hi, b) - a, s, ring.owners[arc], slot + max(lo, a) - lo)
-        for arc, lo, hi, s, slot in place(per_arc, ring.owners, capacities(sum(per_arc), shards, load_factor))
-        for cell, a, b in cuts[arc]
-        if max(lo, a) < min(hi, b)
+    for k, n in on_ring(df.select(key)).groupBy(arc).count().collect():
+        per_arc[k] = n
+    rows = sum(per_arc)
+    shift = BITS - max(0, (rows // cell_rows).bit_length())
+
+    def in_cells(d: DataFrame) -> DataFrame:
+        return on_ring(d).withColumn(cell, F.shiftright(pos, shift))
+
+    placed = [
+        (k, a, b, s, ring.owners[k], slot)
+        for k, a, b, s, slot in place(per_arc, ring.owners, capacities(rows, shards, load_factor))
     ]
-    schema = "_arc int, _cell int, _lo long, _hi long, shard int, home_shard int, _slot long"
-    plan = df.sparkSession.createDataFrame(rows, schema)
+    schema = f"`{arc}` int, `{lo}` long, `{hi}` long, shard int, home_shard int, `{first_slot}` long"
+    plan = df.sparkSession.createDataFrame(placed, schema)
+    # Rows of the arc that stand in earlier cells: one row per cell.
+    earlier = Window.partitionBy(arc).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    cells = in_cells(df.select(key)).groupBy(arc, cell).agg(F.count(F.lit(1)).alias(base))
+    cells = cells.withColumn(base, F.coalesce(F.sum(base).over(earlier), F.lit(0)))
     names = df.columns
-    order = ["_pos", *[c for c, t in df.dtypes if not t.startswith(("map", "variant"))]]
-    numbered = on_ring(df).withColumn(
-        "_n", F.row_number().over(Window.partitionBy("_arc", "_cell").orderBy(*order)) - 1
-    )
-    # One row per cell and cut, some thousands at most, whatever the table.
-    met = numbered.join(F.broadcast(plan), ["_arc", "_cell"]).where("_n >= _lo and _n < _hi")
-    return met.select(*names, "home_shard", "shard", (F.col("_slot") + F.col("_n") - F.col("_lo")).alias("slot"))
+    order = [pos, *[c for c, t in df.dtypes if not t.startswith(("map", "variant"))]]
+    numbered = in_cells(df).withColumn(rank, F.row_number().over(Window.partitionBy(arc, cell).orderBy(*order)) - 1)
+    numbered = numbered.join(cells, [arc, cell]).withColumn(rank, F.col(rank) + F.col(base))
+    # A row for each arc and each shard it was cut over: some thousands, whatever the table.
+    met = numbered.join(F.broadcast(plan), arc).where((F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi)))
+    return met.select(*names, "home_shard", "shard", (F.col(first_slot) + F.col(rank) - F.col(lo)).alias("slot"))

@@ -196,6 +196,27 @@ def test_a_large_group_is_cut_into_blocks(spark, monkeypatch):
     assert {i: got[i]["links"] for i, _ in rows} == {i: len(link[t]) for i, t in rows}
 
 
+def test_a_chain_of_false_candidates(spark, monkeypatch):
+    """Texts that share two thirds of their shingles with the next one, and so on:
+    they meet in bands but are not near, and no task holds more than neighbours."""
+    monkeypatch.setattr(near, "BLOCK_TEXTS", 4)
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join(words[i * 20 : i * 20 + 104])) for i in range(150)]
+    # Some near copies of links of the chain.
+    rows += [(1000 + i, rows[i * 30][1] + " more") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    link, _ = near_brute(rows)
+    got = {r["doc_id"]: r for r in near.near_classes(docs).collect()}
+    assert {i: got[i]["links"] for i, _ in rows} == {i: len(link[t]) for i, t in rows}
+    bands, per = near.banding(0.8)
+    slim = docs.selectExpr("doc_id as _doc", "xxhash64(text) as _th", "text as _text")
+    signed = near.signatures(slim, 5, bands, per)
+    classes = signed.selectExpr("_id", "struct(false as none, _doc, _th) as _first", "_n", "_bands")
+    members, tasks = near._meetings(classes)
+    assert members.count() > 140
+    assert tasks.count() < 12 * members.count()
+
+
 def test_banding_reaches_its_recall():
     bands, rows = near.banding(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= near.RECALL and bands * rows <= near.MOST_HASHES
@@ -213,7 +234,7 @@ def test_components(spark):
 
 @pytest.mark.parametrize("factor", [1.0, 1.25])
 def test_ring_balance_and_slots(docs, none, factor):
-    got = ring.shard(docs, "doc_id", shards=5, vnodes=8, load_factor=factor, cells=64).collect()
+    got = ring.shard(docs, "doc_id", shards=5, vnodes=8, load_factor=factor, cell_rows=2).collect()
     per: dict = {}
     for r in got:
         per.setdefault(r["shard"], []).append(r["slot"])
@@ -224,23 +245,63 @@ def test_ring_balance_and_slots(docs, none, factor):
     assert ring.shard(none, "doc_id").count() == 0
 
 
+def walked(arcs: list[int], owners: tuple[int, ...], caps: list[int]) -> list[list[int]]:
+    """Rows placed one at a time: in rounds of the ring's order each goes to the
+    shard of its point, or on to the next point clockwise whose shard has room."""
+    room, got = list(caps), [[0] * len(caps) for _ in owners]
+    waiting = [(a, a) for a, n in enumerate(arcs) for _ in range(n)]
+    while waiting:
+        refused = []
+        for at, arc in sorted(waiting):
+            if room[owners[at]]:
+                room[owners[at]] -= 1
+                got[arc][owners[at]] += 1
+            else:
+                refused.append((at, arc))
+        waiting = []
+        for at, arc in refused:
+            while not room[owners[at]]:
+                at = (at + 1) % len(owners)
+            waiting.append((at, arc))
+    return got
+
+
 def test_ring_places_like_one_row_at_a_time():
-    owners = (0, 1, 2, 1, 0, 2)
-    counts = [5, 0, 3, 4, 1, 2]
-    caps = [5, 5, 5]
-    placed = ring.place(counts, owners, caps)
-    used = [0, 0, 0]
-    for arc, lo, hi, s, slot in placed:
-        used[s] += hi - lo
-        assert slot + hi - lo <= caps[s] and hi <= counts[arc]
-    assert used == [5, 5, 5]
-
-
-def test_ring_moves_little_when_it_grows(spark):
+    r = random.Random(8)
+    for _ in range(60):
+        shards = r.randint(1, 5)
+        ring_ = ring.Ring.of(shards, r.randint(1, 6))
+        counts = [r.choice([0, 1, 4, 30]) for _ in ring_.points]
+        caps = ring.capacities(sum(counts), shards, r.choice([1.0, 1.3]))
+        placed = ring.place(counts, ring_.owners, caps)
+        got = [[0] * shards for _ in ring_.points]
+        used = [0] * shards
+        for arc, lo, hi, s, slot in sorted(placed, key=lambda p: (p[3], p[4])):
+            got[arc][s] += hi - lo
+            assert slot == used[s]
+            used[s] += hi - lo
+        assert got == walked(counts, ring_.owners, caps)
+        assert all(u <= c for u, c in zip(used, caps, strict=True))
+
+
+def test_ring_keeps_columns_of_any_name(spark):
+    names = ["_n", "_arc", "_cell", "_pos", "_lo", "_slot", "_b", "_at", "_ring_pos", "_ring_rank", "_ring_lo", "count", "SHARD"]
+    rows = [(i % 40, *[f"{c}{i}" for c in names]) for i in range(300)] + [(None, *["x"] * len(names))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"`{c}` string" for c in names))
+    got = ring.shard(docs, "doc_id", shards=3, cell_rows=10)
+    left = names[:-1]
+    assert got.columns == ["doc_id", *left, "home_shard", "shard", "slot"]
+    assert sorted(map(str, (tuple(r)[: len(left) + 1] for r in got.collect()))) == sorted(str(r[:-1]) for r in rows)
+
+
+@pytest.mark.parametrize(("factor", "most"), [(1.0, 0.35), (1.25, 0.3)])
+def test_ring_moves_little_when_it_grows(spark, factor, most):
     ids = spark.range(4000).withColumnRenamed("id", "doc_id")
-    a = {r["doc_id"]: r["shard"] for r in ring.shard(ids, "doc_id", 16, load_factor=1.25).collect()}
-    b = {r["doc_id"]: r["shard"] for r in ring.shard(ids, "doc_id", 17, load_factor=1.25).collect()}
-    assert sum(a[i] != b[i] for i in a) < 0.3 * len(a)
+    a = {r["doc_id"]: r["shard"] for r in ring.shard(ids, "doc_id", 16, load_factor=factor).collect()}
+    b = {r["doc_id"]: r["shard"] for r in ring.shard(ids, "doc_id", 17, load_factor=factor).collect()}
+    moved = sum(a[i] != b[i] for i in a) / len(a)
+    print(f"moved from 16 to 17 shards at {factor}: {moved:.3f}")
+    assert 1 / 17 - 0.02 < moved < most
 
 
 def test_ring_query_reports_sizes(spark, sf_dir):
@@ -281,6 +342,26 @@ def test_token_counts_of_awkward_rows(spark, docs, none):
     assert tokens.apply_edits(tokens.plant(tokens.with_edits(none, edits))).count() == 0
 
 
+def test_kept_trees_take_a_second_batch(spark, docs):
+    enc = tokens.encoder(tokens.VOCABULARY)
+    schema = "doc_id long, seq int, start int, stop int, text string"
+    one = spark.createDataFrame([(11, 1, 100, 4000, "x y"), (4, 1, 0, 9, "new"), (3, 1, None, None, "in front ")], schema)
+    two = spark.createDataFrame([(11, 2, 50, 60, ""), (11, 1, 9000, 9001, "q"), (4, 1, 1, 2, " wz ")], schema)
+    first = tokens.apply_edits(tokens.plant(tokens.with_edits(docs, one)))
+    got = tokens.apply_edits(tokens.kept(first, two)).collect()
+    texts = {r["doc_id"]: r["edited"] for r in first.collect()}
+    for r in got:
+        cut = enc.cut(r["edited"])
+        assert r["edited_tokens"] == sum(r["counts"]) == sum(enc.counts(cut)) and r["sizes"] == [len(p) for p in cut]
+        # Only what the second batch touched was encoded.
+        assert r["encoded"] < 60 if r["doc_id"] in (4, 11) else r["encoded"] == 0
+    by = {r["doc_id"]: r for r in got}
+    assert by[4]["edited"] == "n wz w" and texts[3].startswith("in front ")
+    t = texts[11]
+    t = t[:9000] + "q" + t[9001:]
+    assert by[11]["edited"] == t[:50] + t[60:]
+
+
 # -- 6
 
 

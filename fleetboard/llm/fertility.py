@@ -16,8 +16,10 @@ once and texts are sums over their words.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,9 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the public pattern that belongs to the ranks.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_SPACED = re.compile(r"\s|[\x1c-\x1f]").search
 LONG = 512  # characters of a word encoded at once; a longer word is encoded in parts
-KNOWN = 150_000  # distinct words whose tokens a task remembers
+KNOWN = 300_000  # distinct words whose tokens a task remembers
 WINDOW = 8  # words of a window that is looked for again
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of words in repeated windows
@@ -76,13 +79,22 @@ class Vocabularies:
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._ranks = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        self._known: dict[int, tuple[list[int], int]] = {}
+        self._rank_size = np.zeros(len(table), dtype=np.int64)
+        self._rank_size[list(table.values())] = list(map(len, table))
+        self._forget()
+
+    def _forget(self) -> None:
+        # Words by hash: their place among the words, whose tokens lie one after the other.
+        self._slot: dict[int, int] = {}
+        self.offset = np.zeros(1, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.int32)
+        self.ranked = np.zeros(0, dtype=np.int64)
 
     def encode(self, words: list[str]) -> list[tuple[list[int], int]]:
         """Piece ids, and the number of rank tokens, of each word after a space."""
         parts = [w[i : i + LONG] for w in words for i in range(0, max(len(w), 1), LONG)]
         ids = self._pieces.encode(parts, num_threads=1)
-        ranked = [len(x) for x in self._ranks.encode_ordinary_batch([" " + p for p in parts], num_threads=1)]
+        ranked = self._rank_counts(parts)
         if len(parts) == len(words):
             return list(zip(ids, ranked, strict=True))
         out, k = [], 0
@@ -92,16 +104,35 @@ class Vocabularies:
             k += n
         return out
 
-    def lookup(self, keys: list[int], word_at) -> list[tuple[list[int], int]]:
-        """Tokens of words given by hash; ``word_at`` gives the word of a place in ``keys``."""
-        known = self._known
-        if len(known) + len(keys) > KNOWN:
-            known.clear()
-        new = [i for i, k in enumerate(keys) if k not in known]
+    def _rank_counts(self, parts: list[str]) -> list[int]:
+        """Rank tokens of each part after a space.  A space begins a pre-token, so no
+        token goes from a part into the next one and one call encodes them all; parts
+        with white space of their own are encoded one by one."""
+        odd = {i: len(self._ranks.encode_ordinary(" " + p)) for i, p in enumerate(parts) if _SPACED(p)}
+        raw = [b" " + (b"x" if i in odd else p.encode()) for i, p in enumerate(parts)]
+        size = self._rank_size[self._ranks.encode_ordinary(b"".join(raw).decode())]
+        end = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        counts = np.diff(np.searchsorted(np.cumsum(size), end, side="right"), prepend=0).tolist()
+        for i, n in odd.items():
+            counts[i] = n
+        return counts
+
+    def lookup(self, keys: list[int], word_at) -> np.ndarray:
+        """The places, in ``offset`` and ``ranked``, of words given by hash; ``word_at``
+        gives the word of a place in ``keys``."""
+        if len(self._slot) + len(keys) > KNOWN:
+            self._forget()
+        new = [i for i, k in enumerate(keys) if k not in self._slot]
         for lo in range(0, len(new), 20_000):
             some = new[lo : lo + 20_000]
-            known.update(zip([keys[i] for i in some], self.encode([word_at(i) for i in some]), strict=True))
-        return [known[k] for k in keys]
+            found = self.encode([word_at(i) for i in some])
+            sizes = np.fromiter((len(ids) for ids, _ in found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(ids for ids, _ in found), np.int32, int(sizes.sum()))
+            self._slot.update(zip([keys[i] for i in some], range(len(self._slot), len(self._slot) + len(some)), strict=True))
+            self.offset = np.concatenate((self.offset, self.offset[-1] + np.cumsum(sizes)))
+            self.ids = np.concatenate((self.ids, flat))
+            self.ranked = np.concatenate((self.ranked, np.fromiter((n for _, n in found), np.int64, len(found))))
+        return np.fromiter(map(self._slot.__getitem__, keys), np.int64, len(keys))
 
 
 @lru_cache(maxsize=1)
@@ -181,20 +212,18 @@ def statistics(data: np.ndarray, offs: np.ndarray, vocab: Vocabularies) -> list[
     # Tokens of the distinct words, then of each text as sums over (text, word).
     keys, first, code = np.unique(words, return_index=True, return_inverse=True)
     raw = data.tobytes()
-    found = vocab.lookup(keys.tolist(), lambda i: raw[start[first[i]] : end[first[i]]].decode("utf-8", "replace"))
-    sizes = np.fromiter((len(ids) for ids, _ in found), np.int64, len(found))
-    ranked = np.fromiter((r for _, r in found), np.int64, len(found))
-    flat = np.fromiter((i for ids, _ in found for i in ids), np.int64, int(sizes.sum()))
-    offset = np.concatenate(([0], np.cumsum(sizes)))
-    in_bytes = np.concatenate(([0], np.cumsum(vocab.is_byte[flat])))
+    slots = vocab.lookup(keys.tolist(), lambda i: raw[start[first[i]] : end[first[i]]].decode("utf-8", "replace"))
+    begin = vocab.offset[slots]
+    sizes, ranked = vocab.offset[slots + 1] - begin, vocab.ranked[slots]
+    in_bytes = np.concatenate(([0], np.cumsum(vocab.is_byte[vocab.ids])))
     n_tokens = _sums(sizes[code], per)
-    n_bytes = _sums((in_bytes[offset[1:]] - in_bytes[offset[:-1]])[code], per)
+    n_bytes = _sums((in_bytes[begin + sizes] - in_bytes[begin])[code], per)
     n_ranked = _sums(ranked[code], per)
     pair, times = np.unique(text_of * max(len(keys), 1) + code, return_counts=True)
     text, word = pair // max(len(keys), 1), pair % max(len(keys), 1)
     spread = sizes[word]
     inside = np.arange(int(spread.sum())) - np.repeat(np.cumsum(spread) - spread, spread)
-    token = np.repeat(text, spread) * vocab.size + flat[np.repeat(offset[:-1][word], spread) + inside]
+    token = np.repeat(text, spread) * vocab.size + vocab.ids[np.repeat(begin[word], spread) + inside]
     order = np.argsort(token)
     token, weight = token[order], np.repeat(times, spread)[order]
     entropy = np.zeros(n)

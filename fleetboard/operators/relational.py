@@ -28,28 +28,40 @@ def per_key(df: DataFrame, key: str, *aggs: Column) -> DataFrame:
     return df.groupBy(key).agg(*aggs)
 
 
-def sum_exact(df: DataFrame, keys: Sequence[str | Column], amount: str, name: str) -> DataFrame:
-    """Exact sum of a decimal column (up to 18 digits) per key.
+PARTS = ("high", "mid", "low")
+
+
+def exact_parts(df: DataFrame, amount: str) -> dict[str, Column]:
+    """Aggregates which together are the exact sum of a decimal column (up to 18 digits).
 
     A decimal sum adds big numbers object by object.  Here the amount is counted
     in its smallest unit and cut into three whole numbers of 21 bits, so the adding
-    up is plain long arithmetic, which 4 * 10**12 rows of a key cannot overflow;
-    the three sums are put together once per key.
+    up is plain long arithmetic, which 4 * 10**12 rows of a key cannot overflow.
+    Parts of several groups add up to those of their union.
     """
     dtype = df.schema[amount].dataType
     if not isinstance(dtype, DecimalType) or dtype.precision > 18:
         raise TypeError(f"{amount} must be a decimal of up to 18 digits, not {dtype.simpleString()}")
-    unit = 10**dtype.scale
-    whole = (F.col(amount) * unit).cast("bigint")
+    whole = (F.col(amount) * 10**dtype.scale).cast("bigint")
     mask = F.lit(2**_PART_BITS - 1).cast("bigint")
-    parts = df.groupBy(*keys).agg(
-        F.sum(F.shiftright(whole, 2 * _PART_BITS)).alias("_high"),
-        F.sum(F.shiftright(whole, _PART_BITS).bitwiseAND(mask)).alias("_mid"),
-        F.sum(whole.bitwiseAND(mask)).alias("_low"),
-    )
-    high, mid, low = (F.col(c).cast("decimal(20,0)") for c in ("_high", "_mid", "_low"))
-    total = ((high * 2**_PART_BITS + mid) * 2**_PART_BITS + low) * F.lit(Decimal(1).scaleb(-dtype.scale))
-    return parts.withColumn(name, total).drop("_high", "_mid", "_low")
+    return {
+        "high": F.sum(F.shiftright(whole, 2 * _PART_BITS)),
+        "mid": F.sum(F.shiftright(whole, _PART_BITS).bitwiseAND(mask)),
+        "low": F.sum(whole.bitwiseAND(mask)),
+    }
+
+
+def exact_total(parts: Mapping[str, Column], dtype: DecimalType) -> Column:
+    """The decimal that the parts of a sum make together."""
+    high, mid, low = (parts[p].cast("decimal(20,0)") for p in PARTS)
+    return ((high * 2**_PART_BITS + mid) * 2**_PART_BITS + low) * F.lit(Decimal(1).scaleb(-dtype.scale))
+
+
+def sum_exact(df: DataFrame, keys: Sequence[str | Column], amount: str, name: str) -> DataFrame:
+    """Exact sum of a decimal column per key, put together once per key."""
+    parts = df.groupBy(*keys).agg(*[c.alias(f"_{p}") for p, c in exact_parts(df, amount).items()])
+    total = exact_total({p: F.col(f"_{p}") for p in PARTS}, df.schema[amount].dataType)
+    return parts.withColumn(name, total).drop(*[f"_{p}" for p in PARTS])
 
 
 def with_dimension(facts: DataFrame, dimension: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -95,6 +107,13 @@ def zero_fill(spine: DataFrame, counts: DataFrame, key: str, value: str) -> Data
     return filled.withColumn(value, F.coalesce(F.col(value), F.lit(0).cast("bigint")))
 
 
+def every_hour(counts: DataFrame) -> DataFrame:
+    """``counts`` (hour, value) with all 24 hours of a day, 0 where there is none."""
+    spine = counts.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
+    # hour() can only give 24 values, so this side has 24 rows at most.
+    return zero_fill(spine, F.broadcast(counts), "hour", "value")
+
+
 def hourly_counts(df: DataFrame, ts: str) -> DataFrame:
     """Rows per hour of day for all 24 hours."""
     counts = (
@@ -102,9 +121,7 @@ def hourly_counts(df: DataFrame, ts: str) -> DataFrame:
         .groupBy(F.hour(ts).alias("hour"))
         .agg(F.count("*").alias("value"))
     )
-    spine = df.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-    # hour() can only give 24 values, so this side has 24 rows at most.
-    return zero_fill(spine, F.broadcast(counts), "hour", "value")
+    return every_hour(counts)
 
 
 def detail_and_total(detail: DataFrame, key: str, sums: Sequence[str]) -> DataFrame:

@@ -10,22 +10,28 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetboard.operators.filters import Day, as_day, day_clauses
+from fleetboard.operators.filters import Day, day_clauses
 from fleetboard.schema import Tables
 
 from .reports import DASHBOARDS
+from .shared import limited_reports
 
 
-def run_dashboard(
-    dashboard: str, tables: Tables, start: Day = None, end: Day = None
-) -> dict[str, DataFrame]:
-    """All reports of a dashboard by key."""
+def _limited(dashboard: str, tables: Tables, start: Day, end: Day, shared: bool) -> dict[str, DataFrame]:
     if dashboard not in DASHBOARDS:
         raise ValueError(f"unknown dashboard: {dashboard}")
-    return {
-        key: report.ordered(tables, start, end).select(*report.columns)
-        for key, report in DASHBOARDS[dashboard].items()
-    }
+    if shared:
+        return limited_reports(dashboard, tables, start, end)
+    return {key: report.limited(tables, start, end) for key, report in DASHBOARDS[dashboard].items()}
+
+
+def run_dashboard(
+    dashboard: str, tables: Tables, start: Day = None, end: Day = None, shared: bool = True
+) -> dict[str, DataFrame]:
+    """All reports of a dashboard by key.  With ``shared`` the trips are read once
+    for every grain (see :mod:`.shared`), now; else by each report when it is used."""
+    rows = _limited(dashboard, tables, start, end, shared)
+    return {key: DASHBOARDS[dashboard][key].shown(df) for key, df in rows.items()}
 
 
 @contextmanager
@@ -47,20 +53,18 @@ def open_dashboard(
     end: Day = None,
     persist: bool | None = None,
 ) -> Iterator[dict[str, DataFrame]]:
-    """:func:`run_dashboard` with the trips of the range kept for all reports.
+    """:func:`run_dashboard` for as long as it is open.
 
-    Kept are trips that departed or were cancelled in the range, which is what
-    any report may ask for; each report still applies its own filter.  By
-    default trips are kept only if a range is given: without one every report
-    reads just its two or three columns from the files, which costs less than
-    storing the whole fact.
+    By default reports share summaries of the trips.  With ``persist`` the trips of
+    the range themselves are kept for all reports, which is for reports beyond the
+    registered ones: kept are trips that departed or were cancelled in the range,
+    and each report still applies its own filter.  With ``persist=False`` every
+    report reads the two or three columns it needs from the files.
     """
     if dashboard not in DASHBOARDS:
         raise ValueError(f"unknown dashboard: {dashboard}")
-    if persist is None:
-        persist = bool(as_day(start) or as_day(end))
     if not persist:
-        yield run_dashboard(dashboard, tables, start, end)
+        yield run_dashboard(dashboard, tables, start, end, shared=persist is None)
         return
     trip = tables.trip
     dated = all(report.dated for report in DASHBOARDS[dashboard].values())
@@ -69,23 +73,21 @@ def open_dashboard(
         either = [reduce(and_, clauses) for clauses in bounds]
         trip = trip.filter(either[0] | either[1])
     with kept(trip) as stored:
-        yield run_dashboard(dashboard, Tables(stored, tables.boat, tables.driver), start, end)
+        yield run_dashboard(dashboard, Tables(stored, tables.boat, tables.driver), start, end, shared=False)
 
 
 def stacked_dashboard(
-    dashboard: str, tables: Tables, start: Day = None, end: Day = None
+    dashboard: str, tables: Tables, start: Day = None, end: Day = None, shared: bool = True
 ) -> DataFrame:
     """All reports of a dashboard in one long frame: report, series, label, value
     and ``is_total``, which marks a total over all labels.
 
     Counts that a report gives besides its series are series of their own name.
-    One job computes them all, and what two reports need alike is shuffled once.
+    With ``shared`` the trips are read once for every grain, else once for every report.
     """
-    if dashboard not in DASHBOARDS:
-        raise ValueError(f"unknown dashboard: {dashboard}")
     parts = []
-    for key, report in DASHBOARDS[dashboard].items():
-        frame = report.limited(tables, start, end)
+    for key, frame in _limited(dashboard, tables, start, end, shared).items():
+        report = DASHBOARDS[dashboard][key]
         names = {column: name or key for column, (name, _) in report.series.items()}
         names |= {column: column for column in report.extra if column != "is_total"}
         total = F.col("is_total") if "is_total" in report.extra else F.lit(False)

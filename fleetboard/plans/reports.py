@@ -67,11 +67,16 @@ class Report:
     def limited(self, tables: Tables, start: Day = None, end: Day = None) -> DataFrame:
         """The report's rows with its sort keys, sorted only where a limit needs it."""
         rows = self.build(tables, start, end) if self.dated else self.build(tables, None, None)
+        return self.cut(rows)
+
+    def cut(self, rows: DataFrame) -> DataFrame:
+        """The first of the built rows, in order, if the report has a limit; else all, as they are."""
         return rows if self.limit is None else rel.top_k(rows, self.order(), self.limit)
 
-    def ordered(self, tables: Tables, start: Day = None, end: Day = None) -> DataFrame:
-        rows = self.limited(tables, start, end)
-        return rows if self.limit is not None else rows.orderBy(*self.order())
+    def shown(self, limited: DataFrame) -> DataFrame:
+        """Label and value columns in report order."""
+        rows = limited if self.limit is not None else limited.orderBy(*self.order())
+        return rows.select(*self.columns)
 
 
 def _by(*columns: str) -> Callable[[], list[Column]]:
@@ -112,7 +117,11 @@ def revenue_by_size(t: Tables, start: Day, end: Day, known_only: bool = False) -
     if known_only:
         trips = trips.filter(F.col("boatamount").isNotNull())
     per_boat = rel.sum_exact(trips, ["boatid"], "boatamount", "amount")
-    sized = rel.with_dimension(per_boat, t.boat, "boatid", "boatsize")
+    return size_totals(rel.with_dimension(per_boat, t.boat, "boatid", "boatsize"))
+
+
+def size_totals(sized: DataFrame) -> DataFrame:
+    """Amounts per boat, with its size, added up by size."""
     totals = sized.groupBy(F.col("boatsize").alias("label")).agg(F.sum("amount").alias("total"))
     return totals.withColumn("value", _money("total"))
 
@@ -162,7 +171,10 @@ def trips_per_driver(
         trips = trips.filter(
             (F.col("driverid") != PLACEHOLDER_DRIVER) & (F.col("status") != SEED_STATUS)
         )
-    counts = rel.per_key(trips, "driverid", F.count("*").alias("value"))
+    return named_drivers(t, rel.per_key(trips, "driverid", F.count("*").alias("value")))
+
+
+def named_drivers(t: Tables, counts: DataFrame) -> DataFrame:
     named = rel.with_dimension(counts, t.driver, "driverid", "firstname", "lastname")
     return named.select(
         "driverid", full_name(F.col("firstname"), F.col("lastname")).alias("label"), "value"
@@ -173,14 +185,20 @@ def trips_per_boat(t: Tables, start: Day, end: Day, real_only: bool = False) ->
     trips = date_range(t.trip, "departure", start, end)
     if real_only:
         trips = trips.filter(F.col("boatid") != 0)
-    counts = rel.per_key(trips, "boatid", F.count("*").alias("value"))
+    return named_boats(t, rel.per_key(trips, "boatid", F.count("*").alias("value")))
+
+
+def named_boats(t: Tables, counts: DataFrame) -> DataFrame:
     named = rel.with_dimension(counts, t.boat, "boatid", "boatno")
     return named.select("boatid", F.col("boatno").alias("label"), "value")
 
 
 def inspections(t: Tables, start: Day, end: Day) -> DataFrame:
     trips = date_range(t.trip, "departure", start, end).filter(F.col("inspectedby") != 0)
-    counts = rel.per_key(trips, "inspectedby", F.count("*").alias("value"))
+    return named_inspectors(rel.per_key(trips, "inspectedby", F.count("*").alias("value")))
+
+
+def named_inspectors(counts: DataFrame) -> DataFrame:
     label = F.concat(F.lit("User #"), F.col("inspectedby").cast("string")).alias("label")
     return counts.select("inspectedby", label, "value")
 
@@ -241,7 +259,11 @@ def speed_by_size(t: Tables, start: Day, end: Day) -> DataFrame:
 def capacity_vs_passengers(t: Tables, start: Day, end: Day) -> DataFrame:
     trips = date_range(t.trip, "departure", start, end)
     pax = F.col("noofpassengers")
-    per_boat = rel.per_key(trips, "boatid", F.sum(pax).alias("pax"), F.count(pax).alias("n"))
+    return capacity_rows(t, rel.per_key(trips, "boatid", F.sum(pax).alias("pax"), F.count(pax).alias("n")))
+
+
+def capacity_rows(t: Tables, per_boat: DataFrame) -> DataFrame:
+    """Capacity beside mean passengers, from each boat's passengers and trips that have a number."""
     boats = rel.with_dimension(per_boat, t.boat, "boatid", "boatno", "boatcapacity")
     return boats.select(
         "boatid",
@@ -264,6 +286,11 @@ def trip_duration(t: Tables, start: Day, end: Day) -> DataFrame:
         .groupBy("day")
         .agg(F.sum("seconds").alias("seconds"), F.count("*").alias("trip_count"))
     )
+    return duration_rows(daily)
+
+
+def duration_rows(daily: DataFrame) -> DataFrame:
+    """Mean hours per day, and over all, from each day's seconds and trips."""
     rows = rel.detail_and_total(daily, "day", ["seconds", "trip_count"])
     hours = ratio(F.col("seconds"), F.col("trip_count") * 3600)
     return rows.select(
@@ -377,4 +404,4 @@ def run(
 ) -> DataFrame:
     """A report by name: ``label`` and its value columns, in report order."""
     report = find(key, dashboard)
-    return report.ordered(tables, start, end).select(*report.columns)
+    return report.shown(report.limited(tables, start, end))

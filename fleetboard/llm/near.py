@@ -2,11 +2,13 @@
 
 Equal texts are one class.  Each class has a signature of bands, whose number
 and rows follow from the wanted recall at the threshold; classes meet on band
-hashes.  A bucket only ties its members to its smallest one, so it never makes
-pairs; the ties' components are clusters that hold every candidate pair.  In a
-cluster all pairs are verified on their full shingle sets.  A large cluster is
-cut into blocks, and every pair of blocks is a task of bounded size, which gives
-a row per text, not per pair.
+hashes, and what met in a band is verified on the full shingle sets.  Verifying
+goes by blocks of texts of bounded size: the texts that a text met name the
+smallest of them, texts of one such name are one block (or several, dealt by
+hash), and two blocks are a task if a bucket holds texts of both, with just those
+texts of each.  So a bucket never makes pairs, false candidates tie no clusters
+together, and a task gives a row per text, not per pair.  Only ids are shuffled
+until then; of the documents only those that met another are read again.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ RECALL = 0.9999
 MOST_HASHES = 192
 BLOCK_TEXTS = 256
 BLOCK_SHINGLES = 400_000
+MEMBER_BYTES = 100  # of a row of ids in a broadcast table
+BROADCAST_BYTES = 16 << 20
 _RNG = np.random.default_rng(977)
 _FLIP = _RNG.integers(0, 1 << 32, 1024, dtype=np.uint64).astype(np.uint32)
 _TURN = (_RNG.integers(0, 1 << 31, 1024, dtype=np.uint64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -164,6 +168,39 @@ class Joined:
         self.rows, self.classes = rows, classes
 
 
+def _meetings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members, the classes that met another in a band, with their block; and
+    (_i, _j, _id), the tasks: members of the blocks i and j that met one of the
+    other block (of their own where i is j)."""
+    keyed = classes.select("_id", F.explode("_bands").alias("_band"))
+    buckets = keyed.groupBy("_band").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    met = stored(keyed.join(buckets.select("_band", "_low"), "_band"), "meetings")
+    homes = met.groupBy("_id").agg(F.min("_low").alias("_home"))
+    homes = stored(homes.join(classes.select("_id", "_first", "_n"), "_id"), "homes")
+    # Blocks of a home by its number of texts and of shingles, whichever asks for more.
+    blocks = F.greatest(F.sum("_n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_TEXTS)
+    cut = homes.groupBy("_home").agg(F.ceil(blocks).cast("int").alias("_blocks"))
+    dealt = F.pmod(F.xxhash64("_id", F.lit(5)), F.col("_blocks"))
+    members = homes.join(cut, "_home").select(
+        "_id", F.col("_first._doc").alias("_d"), F.col("_first._th").alias("_t"), F.xxhash64("_home", dealt).alias("_b")
+    )
+    members = stored(members, "members")
+    placed = met.join(members.select("_id", "_b"), "_id").select("_band", "_id", "_b")
+    beside = placed.select("_band", F.col("_b").alias("_o")).distinct()
+    tasks = placed.join(beside, "_band").select(F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_id", "_b")
+    return members, tasks.distinct()
+
+
+def _texts_of(slim: DataFrame, members: DataFrame) -> DataFrame:
+    """(_id, _text) of the members.  Their ids are broadcast if they are measured to
+    take up to ``BROADCAST_BYTES``; beyond that documents are shuffled by id."""
+    small = members.count() * MEMBER_BYTES <= BROADCAST_BYTES
+    right = members.select("_id", "_d", "_t")
+    right = F.broadcast(right) if small else right
+    found = slim.join(right, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
+    return found.select("_id", "_text")
+
+
 def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> Joined:
     bands, rows = banding(threshold, recall)
     slim = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_th"), F.col("text").alias("_text"))
@@ -175,32 +212,10 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
         ),
         "classes",
     )
-    # Ties of each bucket to its smallest member.
-    keyed = classes.select("_id", F.explode("_bands").alias("_band"))
-    buckets = keyed.groupBy("_band").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    ties = keyed.join(buckets, "_band").select(F.col("_id").alias("a"), F.col("_low").alias("b"))
-    tied = components(ties)
-    members = tied.select(F.col("a").alias("_id"), F.col("b").alias("_cluster")).union(
-        tied.select(F.col("b").alias("_id"), F.col("b").alias("_cluster")).distinct()
-    )
-    members = stored(members.join(classes.select("_id", "_first", "_n"), "_id"), "members")
-    cut = members.groupBy("_cluster").agg(
-        F.ceil(F.greatest(F.sum("_n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_TEXTS)).cast("int").alias("_blocks")
-    )
-    placed = members.join(cut, "_cluster").select(
-        "_cluster", "_id", F.col("_first._doc").alias("_d"), F.col("_first._th").alias("_t"), "_blocks",
-        F.pmod(F.xxhash64("_id", F.lit(5)), F.col("_blocks")).cast("int").alias("_b"),
-    )
-    placed = stored(placed, "placed")
-    texts = slim.join(placed, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
+    members, tasks = _meetings(classes)
     # A document row that comes twice gives its class once.
-    texts = texts.select("_cluster", "_id", "_blocks", "_b", "_text").dropDuplicates(["_id"])
-    sets = _shingle_sets(texts, words)
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    pairs = sets.select("_cluster", "_id", "_b", "_set", other.alias("_o")).select(
-        "_cluster", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_id", "_b", "_set"
-    )
-    found = pairs.groupBy("_cluster", "_i", "_j").applyInArrow(_verify(threshold), "_id binary, _links long, _root binary")
+    sets = stored(_shingle_sets(_texts_of(slim, members), words).dropDuplicates(["_id"]), "sets")
+    found = tasks.join(sets, "_id").groupBy("_i", "_j").applyInArrow(_verify(threshold), "_id binary, _links long, _root binary")
     found = stored(found, "links")
     group = components(found.select(F.col("_id").alias("a"), F.col("_root").alias("b")))
     links = found.groupBy("_id").agg(F.sum("_links").alias("_links"))

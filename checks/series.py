@@ -187,6 +187,54 @@ def stacked_series(spark, folder):
     return S.stack_series(points).filter(F.col("y") != 0).drop("stack", "id")
 
 
+ZERO_MONTHS = """
+with m as (
+  select strftime(o_orderdate, '%Y-%m') as x, cast(month(o_orderdate) as int) as n, o_orderstatus as series,
+    cast(sum(cast(round((o_totalprice - 150000) * 100) as bigint)) as bigint) as y
+  from orders group by 1, 2, 3),
+k as (select *, cast(case series when 'F' then 0 when 'O' then 1 else 2 end as int) as k from m),
+o as (select x, series, k, case when (n + k) % 3 = 0 then 0 else y end as y from k)"""
+
+
+def _zero_months(spark, folder):
+    """Monthly order values of the statuses, of which every third is 0."""
+    orders = table(spark, folder, "orders")
+    cents = F.round((F.col("o_totalprice") - 150000) * 100).cast("bigint")
+    monthly = orders.groupBy(
+        F.date_format("o_orderdate", "yyyy-MM").alias("x"), F.month("o_orderdate").alias("n"),
+        F.col("o_orderstatus").alias("series"),
+    ).agg(F.sum(cents).alias("y"))
+    place = F.when(F.col("series") == "F", 0).when(F.col("series") == "O", 1).otherwise(2)
+    return monthly.select(
+        F.lit("all").alias("stack"), "series", place.alias("series_order"), "x",
+        F.when((F.col("n") + place) % 3 == 0, 0).otherwise(F.col("y")).cast("double").alias("y"),
+        F.lit(0).alias("id"),
+    )
+
+
+@query(ZERO_MONTHS + """,
+s as (
+  select o.*, (select arg_min(sign(p.y), p.k) from o p where p.x = o.x and p.k < o.k and p.y <> 0) as side from o)
+select x, series, k as series_order, cast(y as double) as y,
+  cast(coalesce((select sum(p.y) from s p where p.x = s.x and p.k < s.k
+    and sign(p.y) = case when s.y <> 0 then sign(s.y) else s.side end), 0) as double) as base,
+  cast(coalesce((select sum(p.y) from s p where p.x = s.x and p.k < s.k
+    and sign(p.y) = case when s.y <> 0 then sign(s.y) else s.side end), 0) + y as double) as top
+from s""")
+def stacked_zeros(spark, folder):
+    """A zero sits on the pile of the first value below it."""
+    return S.stack_series(_zero_months(spark, folder)).drop("stack", "id")
+
+
+@query(ZERO_MONTHS + """
+select x, series, k as series_order, cast(y as double) as y,
+  cast(sum(y) over w - y as double) as base, cast(sum(y) over w as double) as top
+from o window w as (partition by x order by k rows unbounded preceding)""")
+def stacked_single(spark, folder):
+    """All values on one pile, whatever their sign."""
+    return S.stack_series(_zero_months(spark, folder), single=True).drop("stack", "id")
+
+
 SHARE = """
 with m as (
   select o_orderstatus as series, o_orderpriority as label,
@@ -381,6 +429,51 @@ def range_slice_spanned(spark, folder):
     return S.range_slice(timed(spark, folder, "user_id", known), *week(), span_gaps=True)
 
 
+def _visible_sql(kept: str) -> str:
+    """Slice with neighbours, decimation of what it holds, segments of what is left."""
+    return f"""
+with e as (
+  select event_type as series, ts as x, epoch_us(ts) as t, case when value >= 20 then value end as y, event_id as id from events),
+n as (select *, lag(x) over w as px, lead(x) over w as nx from e window w as (partition by series order by x, id)),
+v as (
+  select series, t as x, y, id from n
+  where (x >= timestamp '2024-01-08' and x <= timestamp '2024-01-15')
+    or (x < timestamp '2024-01-08' and nx >= timestamp '2024-01-08')
+    or (x > timestamp '2024-01-15' and px <= timestamp '2024-01-15')),
+r as (select series, min(x) as x0, max(x) as x1, count(*) as n from v group by 1),
+b as (select v.*, r.n, cast(floor((v.x - r.x0) / (r.x1 - r.x0) * {WIDTH}) as int) as b from v join r on v.series = r.series),
+k as (select *, row_number() over (partition by series, b order by x, id) as a1,
+        row_number() over (partition by series, b order by x desc, id desc) as a2,
+        row_number() over (partition by series, b order by y, x, id) as a3,
+        row_number() over (partition by series, b order by y desc, x, id) as a4 from b),
+d as (select series, x, y, id from k where {kept}),
+l as (select *, lag(x) over w as px, lag(y) over w as py from d window w as (partition by series order by x, id)),
+c as (select *, case when y is not null and (py is null or x - px > 10800000000) then 1 else 0 end as brk from l),
+g as (select *, sum(brk) over (partition by series order by x, id rows unbounded preceding) as s from c)
+select series, x, y, id, cast(s - 1 as bigint) as segment from g where y is not null"""
+
+
+def _visible(spark, folder, threshold):
+    known = F.when(F.col("value") >= 20, F.col("value"))
+    points = timed(spark, folder, "event_type", known)
+    micros = points.withColumn("x", F.unix_micros(F.col("x").cast("timestamp")))
+    lo, hi = (F.unix_micros(end.cast("timestamp")) for end in week())
+    shown = S.decimate_visible(micros, lo, hi, WIDTH, threshold)
+    return S.gap_segments(shown, gap=3 * 3600 * 1_000_000)
+
+
+@query(_visible_sql(f"n <= {4 * WIDTH} or a1 = 1 or (b < {WIDTH} and (a2 = 1 or (y is not null and (a3 = 1 or a4 = 1))))"))
+def slice_decimate_segments(spark, folder):
+    """One week of every series as it is drawn: slice, decimation of its points, runs."""
+    return _visible(spark, folder, None)
+
+
+@query(_visible_sql(f"a1 = 1 or (b < {WIDTH} and (a2 = 1 or (y is not null and (a3 = 1 or a4 = 1))))"))
+def slice_decimate_always(spark, folder):
+    """The same without a threshold."""
+    return _visible(spark, folder, 0)
+
+
 @query(f"""
 with {EVENTS}, n as (
   select series, x, lag(x) over (partition by series order by id) as px from events_p)

@@ -5,7 +5,7 @@ points of a series distinct.  Points of a series are ordered by ``x`` and then
 ``id``.  Any series may be far larger than one task can hold.
 """
 
-from .decimate import lttb_decimate, min_max_decimate
+from .decimate import decimate_visible, lttb_decimate, min_max_decimate
 from .extents import adjust_extents, extents
 from .labels import label_index, label_positions
 from .points import (
@@ -33,6 +33,7 @@ __all__ = [
     "arrays_to_points",
     "calendar_fill",
     "calendar_spine",
+    "decimate_visible",
     "distinct_times",
     "extents",
     "gap_segments",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..ordered import GROUP_ROWS, attach, in_order, match_keys
+from fleetboard.session import checkpoint
+
+from ..ordered import BROADCAST_BYTES, BROADCAST_ROWS, GROUP_ROWS, in_order, match_keys
 
 
 def gap_segments(
@@ -36,38 +38,91 @@ def gap_segments(
     return runs.withColumn("segment", segment).drop("_px", "_phas", "_has")
 
 
-def range_slice(points: DataFrame, lo, hi, span_gaps: bool = False) -> DataFrame:
+REACH = 4  # a search goes this many times as far as the one before it
+SEARCHES = 6  # searches of bounded reach; what is not found by then may lie anywhere
+
+
+def _found(drawn: DataFrame, lo: Column, hi: Column, near: Column, band: Column) -> DataFrame:
+    """Per series of the rows in ``band``: the nearest x below and above the range,
+    and whether a row is inside."""
+    x = F.col("x")
+    return drawn.filter(band).groupBy("series").agg(
+        F.max(F.when(x < lo, x)).alias("below"), F.min(F.when(x > hi, x)).alias("above"), F.bool_or(near).alias("met")
+    )
+
+
+def _strips(points: DataFrame, lo: Column, hi: Column) -> list[tuple[Column, Column]]:
+    """How far each search goes, as long as the axis does; none if the range has no width."""
+    ends = []
+    for k in range(SEARCHES):
+        far = F.try_multiply(F.try_subtract(hi, lo), F.lit(REACH**k))
+        ends.append((F.try_subtract(lo, far), F.try_add(hi, far)))
+    there = [(hi > lo) & a.isNotNull() & b.isNotNull() for a, b in ends]
+    row = points.sparkSession.range(1).select(*[c.alias(f"c{k}") for k, c in enumerate(there)]).first()
+    return ends[: next((k for k, ok in enumerate(row) if not ok), SEARCHES)]
+
+
+def range_slice(points: DataFrame, lo, hi, span_gaps: bool = False, series: DataFrame | None = None) -> DataFrame:
     """Points inside [lo, hi] and the nearest one beyond each end, so that a line
     drawn through them reaches both edges.  ``lo`` and ``hi`` are values or
-    columns of the type of ``x``.
+    constant columns of the type of ``x``.
 
     A point beyond an end counts only if the line goes on from it towards the
     range.  With ``span_gaps`` the line runs across missing values, so a neighbour
     is the nearest point that has one.
 
-    Bounds compare the bare column, so every scan is pruned by them.  Neighbours
-    are one plain extreme per series, and their rows are fetched by (series, x):
-    no series is ever sorted or brought together.  Of points at the same nearest
-    x the one next to the range by ``id`` is taken.
+    Neighbours are searched outward: as far as the range is wide, then ``REACH``
+    times as far, until every series has one on both sides.  Each search reads only
+    the strips it adds, and its bounds compare the bare column, so what is read
+    follows from the range and its surroundings, not from the length of the history.
+    Only after ``SEARCHES`` of them, for series that begin late or end early, is the
+    rest of the history looked through.  ``series`` may name all of them (a frame
+    with that column); otherwise they are taken from that column alone of all
+    points.  Of points at the same nearest x the one next to the range by ``id`` is
+    taken.
     """
     x, y = F.col("x"), F.col("y")
+    kind = points.schema["x"].dataType
+    lo, hi = ((end if isinstance(end, Column) else F.lit(end)).cast(kind) for end in (lo, hi))
     within = (x >= lo) & (x <= hi)
     drawn = points.filter(y.isNotNull() & ~F.isnan(y)) if span_gaps else points
-    below, above = drawn.filter(x < lo), drawn.filter(x > hi)
-    lows = below.groupBy("series").agg(F.max("x").alias("x"))
-    highs = above.groupBy("series").agg(F.min("x").alias("x"))
-    met = drawn.filter(within).select("series").distinct()
-
-    def neighbours(rows: DataFrame, own: DataFrame, other: DataFrame, pick) -> DataFrame:
-        goes_on = met.union(other.select("series")).distinct()
-        wanted = match_keys(own, goes_on, ["series"], "left_semi")
-        tied = attach(rows, wanted, ["series", "x"])
+    named = (drawn if series is None else series).select("series").distinct()
+    nothing = F.lit(None).cast(kind)
+    state = named.select("series", nothing.alias("below"), nothing.alias("above"), F.lit(False).alias("met"))
+    strips = _strips(points, lo, hi)
+    first, last = lo, hi
+    for search in range(len(strips) + 1):
+        if search < len(strips):
+            low, high = strips[search]
+            band = (x >= low) & (x <= high) if not search else (x >= low) & (x < first) | (x > last) & (x <= high)
+            first, last = low, high
+        else:
+            band = (x < first) | (x > last) if search else F.lit(True)
+            first = last = None
+        more = _found(drawn, lo, hi, within, band)
+        state = checkpoint(
+            state.unionByName(more).groupBy("series").agg(
+                F.max("below").alias("below"), F.min("above").alias("above"), F.bool_or("met").alias("met")
+            )
+        )
+        missing = F.count_if(F.col("below").isNull() | F.col("above").isNull())
+        size = F.sum(F.octet_length(F.to_json(F.struct(*state.columns))))
+        left, rows, bytes_ = state.agg(missing, F.count("*"), size).first()
+        if not left:
+            break
+    small = rows <= BROADCAST_ROWS and (bytes_ or 0) <= BROADCAST_BYTES
+
+    def neighbours(side: str, other: str, reached: Column, pick) -> DataFrame:
+        goes_on = F.col("met") | F.col(other).isNotNull()
+        wanted = state.filter(F.col(side).isNotNull() & goes_on).select("series", F.col(side).alias("x"))
+        tied = match_keys(drawn.filter(reached), F.broadcast(wanted) if small else wanted, ["series", "x"], "inner")
         one = tied.groupBy("series").agg(pick(F.struct(*points.columns), F.col("id")).alias("p"))
         return one.select(*[F.col("p")[c].alias(c) for c in points.columns])
 
-    inside = points.filter(within)
-    before = neighbours(below, lows, highs, F.max_by)
-    return inside.unionByName(before).unionByName(neighbours(above, highs, lows, F.min_by))
+    reached = [(x < lo) if first is None else (x < lo) & (x >= first), (x > hi) if last is None else (x > hi) & (x <= last)]
+    before = neighbours("below", "above", reached[0], F.max_by)
+    after = neighbours("above", "below", reached[1], F.min_by)
+    return points.filter(within).unionByName(before).unionByName(after)
 
 
 def is_sorted(points: DataFrame, position: str = "id", group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -151,3 +151,96 @@ def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(done, schema=schema)
     if best is not None:
         yield pa.RecordBatch.from_pylist([best], schema=schema)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, dict[str, np.ndarray]]]:
+    """((series, stretch), bucket, columns) of rows sorted by these, a whole bucket at a time."""
+    names = ("x", "y", "id", "nx", "ny")
+    open_, held = None, []
+
+    def whole() -> dict[str, np.ndarray]:
+        return {n: np.concatenate([h[n] for h in held]) for n in names}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        buckets, stretches = (batch[c].to_numpy() for c in ("bucket", "stretch"))
+        columns = {n: batch[n].to_numpy(zero_copy_only=False) for n in names}
+        starts = np.flatnonzero(_changes(_codes(batch["series"]), stretches, buckets))
+        for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+            key = ((batch["series"][int(lo)].as_py(), int(stretches[lo])), int(buckets[lo]))
+            if open_ is not None and key != open_:
+                yield *open_, whole()
+                held = []
+            open_ = key
+            held.append({n: c[lo:hi] for n, c in columns.items()})
+    if open_ is not None:
+        yield *open_, whole()
+
+
+AREAS = 1_000_000  # triangles worked out at once
+
+
+def _next_corner(px: np.ndarray, py: np.ndarray, rows: dict[str, np.ndarray]) -> np.ndarray:
+    """For each point chosen before, which row of a bucket makes the largest triangle."""
+    x, y, nx, ny = (rows[c][None, :] for c in ("x", "y", "nx", "ny"))
+    step = max(1, AREAS // x.shape[1])
+    found = []
+    for lo in range(0, len(px), step):
+        ax, ay = px[lo : lo + step, None], py[lo : lo + step, None]
+        found.append(np.argmax(0.5 * np.abs((ax - nx) * (y - ay) - (ax - x) * (ny - ay)), axis=1))
+    return np.concatenate(found)
+
+
+def chain_maps(schema: pa.Schema):
+    """Per stretch of buckets which corner is chosen last, for every corner that may
+    have been chosen before it.
+
+    The first bucket of a stretch's rows holds the corners before it.  Different
+    beginnings soon choose the same corner and are one from there on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, start, now, at = None, {}, {}, np.zeros(0, dtype=np.int64)
+
+        def ends() -> pa.RecordBatch:
+            n = len(start["x"])
+            columns = [[group[0]] * n, [group[1]] * n, *[start[c] for c in ("x", "id")], *[now[c][at] for c in ("x", "y", "id")]]
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
+
+        for key, _, rows in _parts(batches):
+            if key != group:
+                if group is not None:
+                    yield ends()
+                # Of the corners chosen so far: where they are in ``now``, per beginning.
+                group, start, now, at = key, rows, rows, np.arange(len(rows["x"]))
+                continue
+            states, of = np.unique(at, return_inverse=True)
+            best = _next_corner(now["x"][states].astype("float64"), now["y"][states], rows)
+            now, at = rows, best[of]
+        if group is not None:
+            yield ends()
+
+    return run
+
+
+def follow(schema: pa.Schema):
+    """The corner each stretch but the first begins with, from the maps of a series in
+    order of their stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, done, point = None, None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if series is None or row["series"] != series[0]:
+                    series, done, point = (row["series"],), None, None
+                if row["stretch"] == done:
+                    continue
+                # The first stretch begins at the series' first point, which is its only beginning.
+                if point is None or (row["from_x"], row["from_id"]) == (point["x"], point["id"]):
+                    done, point = row["stretch"], {c: row[c] for c in ("x", "y", "id")}
+                    out.append({"series": row["series"], "stretch": row["stretch"] + 1, **point})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return run

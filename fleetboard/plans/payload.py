@@ -70,7 +70,8 @@ def payload(
         of_total[0].cast("double").alias("overall_avg"),
         of_total[1].cast("bigint").alias("trip_count"),
     ).select(F.lit(HEADER).cast("bigint").alias("place"), F.array(*shown).alias("series"), "*")
-    points = in_order(rows, [], report.order(), group_rows).number("place").rows()
+    keys = {f"_key{i}": c for i, c in enumerate(report.order(ascending=True))}
+    points = in_order(rows.withColumns(keys), [], list(keys), group_rows).number("place").rows()
     points = points.select("place", F.col("label").cast("string").alias("label"), _values(report, dashboard).alias("values"))
     return head.unionByName(points, allowMissingColumns=True).select(
         "place", "points", "series", "overall_avg", "trip_count", "label", "values"

@@ -52,7 +52,7 @@ class Report:
     that is not ``dated`` always covers all trips."""
 
     build: Callable[[Tables, Day, Day], DataFrame]
-    order: Callable[[], list[Column]]
+    order: Callable[..., list[Column]]
     series: dict[str, tuple[str | None, str | None]] = field(
         default_factory=lambda: {"value": (None, None)}
     )
@@ -79,15 +79,22 @@ class Report:
         return rows.select(*self.columns)
 
 
-def _by(*columns: str) -> Callable[[], list[Column]]:
-    """Sort keys from names; ``-name`` is descending with NULL last."""
-    return lambda: [
-        F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_first(c) for c in columns
-    ]
+def _by(*columns: str) -> Callable[[bool], list[Column]]:
+    """Sort keys from names; ``-name`` is descending with NULL last.  With
+    ``ascending`` the keys are values that give this order when they rise."""
 
+    def key(c: str, ascending: bool) -> Column:
+        if not c.startswith("-"):
+            return F.col(c)
+        if not ascending:
+            return F.desc_nulls_last(c[1:])
+        return F.struct(F.col(c[1:]).isNull().alias("none"), (-F.col(c[1:])).alias("less"))
 
-def _in_order(labels: Sequence[str]) -> Callable[[], list[Column]]:
-    return lambda: [value_order(F.col("label"), labels), F.asc_nulls_first("label")]
+    return lambda ascending=False: [key(c, ascending) for c in columns]
+
+
+def _in_order(labels: Sequence[str], column: str = "label") -> Callable[[bool], list[Column]]:
+    return lambda ascending=False: [value_order(F.col(column), labels), F.col(column)]
 
 
 def _money(total: str) -> Column:
@@ -356,7 +363,7 @@ ACTIVITY = {
     "boat_availability": Report(boat_availability, _in_order(AVAILABILITY_LABELS)),
     "boat_size": Report(
         partial(boats_per_size, unknown=UNKNOWN),
-        lambda: [value_order(F.col("boatsize"), SIZE_ORDER), F.asc_nulls_first("boatsize")],
+        _in_order(SIZE_ORDER, "boatsize"),
     ),
     "trip_duration": Report(
         trip_duration, _by("is_total", "label"), extra=("trip_count", "is_total")

@@ -352,13 +352,12 @@ def test_time_rank_and_positions(spark, group_rows):
         assert r["position"] == pytest.approx(lo[1] + part * (hi[1] - lo[1]))
 
 
-@pytest.mark.parametrize("group_rows", SIZES)
-def test_smallest_step(spark, group_rows):
+def test_smallest_step(spark):
     rows = [("a", x, 0.0, x) for x in range(0, 400, 10)] + [("a", 213, 0.0, 999), ("b", 1, 0.0, 1)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = S.smallest_step(df, ["series"], group_rows).collect()
+    got = S.smallest_step(df, ["series"]).collect()
     assert {r["series"]: r["step"] for r in got} == {"a": 3, "b": None}
-    assert S.smallest_step(df, (), group_rows).first()["step"] == 1
+    assert S.smallest_step(df, ()).first()["step"] == 1
 
 
 def test_distinct_times_in_order(spark):

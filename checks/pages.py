@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetboard.functions import full_name
 from fleetboard.plans import (
+    ResultStore,
     kept,
     metric_by_date,
     payload,
@@ -238,18 +239,35 @@ def payload_boat_sizes(spark, folder):
 
 
 @query(f"""
-with r as ({reports.SQL["capacity_vs_passengers"]})
-select count(*) as labels, count(*) as capacities, count(*) as passengers,
-  sum(capacity) as capacity from r""")
+with r as ({reports.SQL["capacity_vs_passengers"]}),
+p as (select *, row_number() over (order by capacity desc, cast(substr(label, 3) as bigint)) - 1 as place from r)
+select place, label, cast(capacity as double) as capacity, avg_passengers,
+  'Capacity:bar' as first, 'Avg Passengers:line' as second from p""")
 def payload_object(spark, folder):
-    """The one JSON object of a report, from its lines: lengths of its arrays."""
+    """The one JSON object of a report, put together from its lines and read strictly:
+    every label and value at its place, and the names and types of its series."""
     lines = payload_text("capacity_vs_passengers", star(spark, folder))
-    # A check of the whole text, so here it is joined; boats are few next to trips.
-    text = lines.agg(F.listagg("text")).toDF("json")
+    # A check of the whole text, so here it is joined, in order; the report has 15 boats.
+    placed = lines.select(F.monotonically_increasing_id().alias("n"), "text")
+    text = placed.agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("t"))
+    text = text.select(F.array_join(F.transform("t", lambda r: r["text"]), "").alias("json"))
     data = "struct<label string, type string, data array<double>>"
-    o = text.select(F.from_json("json", f"labels array<string>, datasets array<{data}>").alias("o")).select("o.*")
-    first, second = F.col("datasets")[0]["data"], F.col("datasets")[1]["data"]
-    return o.select(
-        F.size("labels").alias("labels"), F.size(first).alias("capacities"), F.size(second).alias("passengers"),
-        F.aggregate(first, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))).alias("capacity"),
+    o = text.select(
+        F.from_json("json", f"labels array<string>, datasets array<{data}>", {"mode": "FAILFAST"}).alias("o")
+    ).select("o.*")
+    named = [F.concat_ws(":", F.col("datasets")[i]["label"], F.col("datasets")[i]["type"]) for i in (0, 1)]
+    points = F.arrays_zip("labels", F.col("datasets")[0]["data"].alias("a"), F.col("datasets")[1]["data"].alias("b"))
+    rows = o.select(named[0].alias("first"), named[1].alias("second"), F.posexplode(points).alias("place", "p"))
+    return rows.select(
+        F.col("place").cast("bigint").alias("place"), F.col("p")["labels"].alias("label"),
+        F.col("p")["a"].alias("capacity"), F.col("p")["b"].alias("avg_passengers"), "first", "second",
     )
+
+
+@query(reports.SQL["trips_per_boat_dated"])
+def stored_report(spark, folder):
+    """A report asked for twice: the second time its stored result is read."""
+    store = ResultStore(spark)
+    for _ in range(2):
+        rows = store.run("trips_per_boat", star(spark, folder), dashboard="activity", **reports.H1)
+    return rows

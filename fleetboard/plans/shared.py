@@ -249,14 +249,16 @@ REWRITES: dict[str, dict[str, Rewrite]] = {
 }
 
 
-def limited_reports(dashboard: str, tables: Tables, start: Day = None, end: Day = None) -> dict[str, DataFrame]:
-    """Every report of a dashboard with its sort keys, cut where it has a limit.
+def limited_reports(
+    dashboard: str, tables: Tables, start: Day = None, end: Day = None, keys: Sequence[str] | None = None
+) -> dict[str, DataFrame]:
+    """The reports ``keys`` of a dashboard, or all, with their sort keys, cut where one has a limit.
 
     Each grain's trips are read once, in a job of its own that writes the summary;
     reports without a rewrite read dimensions only.
     """
-    found = R.DASHBOARDS[dashboard]
-    rewrites = REWRITES[dashboard]
+    found = {k: r for k, r in R.DASHBOARDS[dashboard].items() if keys is None or k in keys}
+    rewrites = {k: r for k, r in REWRITES[dashboard].items() if k in found}
     needed: dict[tuple[str, bool], set[str]] = {}
     for key, rewrite in rewrites.items():
         needed.setdefault((rewrite.grain, found[key].dated), set()).update(rewrite.measures)

@@ -45,6 +45,7 @@ MEASURES = ("piece_chars", "rank_chars", "byte_share", "entropy")
 WIDTH = 2.0  # a band reaches this many quartile ranges beyond the quartiles,
 FLOOR = {"piece_chars": 0.15, "rank_chars": 0.15, "byte_share": 0.02, "entropy": 0.03}  # and so far at least
 CELL = 1 / 1024  # measures are counted in cells of this width
+BROADCAST_BANDS = 20_000  # rows of 11 numbers and a group's name
 LEAST_GROUP = 50  # documents that a band is made from at least; a smaller group has none
 SCRIPTS = {  # fixed values: first and last code points of the letters of common scripts
     "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)),
@@ -309,10 +310,16 @@ def bands(measured: DataFrame, group: Column, width: float = WIDTH) -> DataFrame
 
 def judge(measured: DataFrame, found: DataFrame, group: Column) -> DataFrame:
     """Add ``base_failed``, ``outside`` (the measures beyond their bands) and ``kept``.
-    A NULL group, or one without a band, is judged by the plain rules alone."""
+    A NULL group, or one without a band, is judged by the plain rules alone.  Bands
+    are counted; up to ``BROADCAST_BANDS`` of them go to every task, so that rows of
+    a large group stay where they are, and beyond they are joined by group."""
     g = free(measured, "_group")
     size = free(measured, "_size")
-    right = found.select(F.col("group").alias(g), F.col("size").alias(size), *[F.col(m).alias(f"{g}{m}") for m in MEASURES])
+    found = stored(found, "bands")
+    if found.limit(BROADCAST_BANDS + 1).count() <= BROADCAST_BANDS:
+        found = F.broadcast(found)
+    ends = [F.col(m).alias(f"{g}{m}") for m in MEASURES]
+    right = found.select(F.col("group").alias(g), F.col("size").alias(size), *ends)
     joined = measured.join(right, (group == F.col(g)) & (size_class() == F.col(size)), "left")
     beyond = [
         F.when((F.col(m) < F.col(f"{g}{m}.lo")) | (F.col(m) > F.col(f"{g}{m}.hi")), F.lit(m)) for m in MEASURES

@@ -15,6 +15,7 @@ out; and the character is in the sixteenth that matched.  That loses no pair.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from .common import free, small_batches, stored
 
 NEAR = 20  # characters a line needs for one edit to be a small change; shorter ones must be equal
 BLOCKS = 16
-BROADCAST_ROWS = 200_000  # documents with candidate lines, some 40 bytes each
+BROADCAST_BYTES = 16 << 20  # of places of candidate lines
+PLACE_BYTES, DOC_BYTES = 40, 60  # of a place, and of a document's id, in a broadcast table
 ROWS_OUT = 100_000  # keys that a task hands over at once
 _ID = ["_k1", "_k2"]
 
@@ -174,8 +176,43 @@ def _per_line(df: DataFrame, given: list[str], make: Callable[..., tuple], names
     return df.select(*base, *given).repartition(parts, *_ID).transform(small_batches).mapInArrow(run, out)
 
 
+def _decided(ties: DataFrame) -> DataFrame:
+    """(ids, _other): the lines that go, each with a line that stays and covers it.
+
+    ``ties`` are lines at keys; at a key of kind 0 all lines are near each other, at
+    one of kind 1 the shorter lines (``_side``) and the longer ones.  In rounds: a
+    line without an earlier one near it stays, one near an earlier line that stays
+    goes, and others wait for those before them.  So a line that went covers none.
+    The earliest line that waits is decided in every round; only what still waits,
+    and what that is near to, goes into the next.
+    """
+    rep = F.struct("_first", *_ID)
+    now = ties.withColumn("_stays", F.lit(False))
+    gone = []
+    while True:
+        stays, side = F.col("_stays"), F.col("_side")
+        heads = now.groupBy("_key", "_kind").agg(
+            F.min(F.when(~side, rep)).alias("_long"), F.min(F.when(side, rep)).alias("_short"),
+            F.min(F.when(~side & stays, rep)).alias("_klong"), F.min(F.when(side & stays, rep)).alias("_kshort"),
+            F.count_if(~stays).alias("_open"),
+        )
+        met = now.join(heads.where("_open > 0"), ["_key", "_kind"])
+        across = F.col("_kind") & ~side
+        other, cover = (F.when(across, F.col(b)).otherwise(F.col(a)) for a, b in (("_long", "_short"), ("_klong", "_kshort")))
+        met = stored(met.select(*now.columns, other.alias("_o"), cover.alias("_c")), "met_lines")
+        earlier = [F.when(F.col(f"{c}._first") < F.col("_first"), F.col(c)) for c in ("_o", "_c")]
+        asked = met.where("not _stays").groupBy(*_ID).agg(F.min(earlier[0]).alias("_wait"), F.min(earlier[1]).alias("_other"))
+        asked = stored(asked, "asked_lines")
+        gone.append(asked.where("_other is not null").select(*_ID, "_other"))
+        out = asked.select(*_ID, F.col("_other").isNotNull().alias("_gone"), F.col("_wait").isNull().alias("_free"))
+        left = met.drop("_o", "_c").join(out, _ID, "left").where(~F.coalesce("_gone", F.lit(False)))
+        now = left.withColumn("_stays", F.col("_stays") | F.coalesce("_free", F.lit(False))).drop("_gone", "_free")
+        if not asked.where("_other is null and _wait is not null").limit(1).count():
+            return reduce(DataFrame.union, gone)
+
+
 def covered(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Ids of the distinct lines that have an earlier line within one edit."""
+    """Ids of the distinct lines that have an earlier line that stays within one edit."""
     keyed = distinct.where(F.size("_keys") > 0).select(*_ID, F.explode("_keys").alias("_key"))
     met = distinct.select(*_ID, "_first").join(_partnered(keyed).select(*_ID).distinct(), _ID)
     places = stored(
@@ -184,9 +221,9 @@ def covered(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         ),
         "candidate_lines",
     )
-    # One row per document; broadcast under a checked bound, else documents are shuffled once more.
-    small = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    right = F.broadcast(places) if small else places
+    # One row per document; broadcast if measured to be small, else documents are shuffled once more.
+    size = places.agg(F.sum(F.size("_at") * PLACE_BYTES + DOC_BYTES)).first()[0] or 0
+    right = F.broadcast(places) if size <= BROADCAST_BYTES else places
     hit = docs.join(right, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
     # Equal rows of a document give the same lines again.
     fields = T.StructType([T.StructField("_line", T.StringType()), *distinct.select(*_ID, "_first").schema.fields])
@@ -210,21 +247,11 @@ def covered(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     texts = stored(texts.join(near, _ID), "near_lines")
     keys = _per_line(texts, ["_line", "_qs"], variant_keys, ["_key", "_role"], "_key long, _role int")
     # 0 meets 0; 1, a longer line less a character, meets 2, a shorter line.
-    side = F.col("_role") == 2
-    rep = F.struct("_first", "_k1", "_k2")
-    meets = keys.withColumn("_kind", F.col("_role") > 0).groupBy("_key", "_kind").agg(
-        F.min(F.when(~side, rep)).alias("_long"),
-        F.min(F.when(side, rep)).alias("_short"),
-        F.count(F.lit(1)).alias("_c"),
-    ).where("_c > 1")
-    best = (
-        keys.withColumn("_kind", F.col("_role") > 0)
-        .join(meets, ["_key", "_kind"])
-        .select(*_ID, "_first", F.when(F.col("_role") == 1, F.col("_short")).otherwise(F.col("_long")).alias("_other"))
-        .where("_other._first < _first")
-        .groupBy(*_ID)
-        .agg(F.min("_other").alias("_other"))
-    )
+    keys = keys.select(*_ID, "_first", "_key", (F.col("_role") > 0).alias("_kind"), (F.col("_role") == 2).alias("_side"))
+    keys = stored(keys, "variants")
+    shared = keys.groupBy("_key", "_kind").agg(F.count_if("_side").alias("_s"), F.count(F.lit(1)).alias("_c"))
+    shared = shared.where("_c > 1 and (not _kind or (_s > 0 and _s < _c))").select("_key", "_kind")
+    best = _decided(stored(keys.join(shared, ["_key", "_kind"], "left_semi"), "ties"))
     mine = texts.select(*_ID, F.col("_line").alias("_a"))
     theirs = texts.select(F.col("_k1").alias("_o1"), F.col("_k2").alias("_o2"), F.col("_line").alias("_b"))
     pairs = best.join(mine, _ID).join(
@@ -245,19 +272,22 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, added: tuple[str, str] = ("lines_dropped", "lines_kept")) -> DataFrame:
     """Documents with only the earliest of equal and nearly equal lines.
 
     Lines are compared in lower case with white space squeezed.  A line goes if
     an earlier one, by (doc_id, text hash, line number), is equal to it or, both
-    having ``NEAR`` characters or more, within one edit of it.  Blank lines stay.  NULL ids
+    having ``NEAR`` characters or more, within one edit of it and stays itself.  Blank lines stay.  NULL ids
     count as earliest; rows equal in id and text are one document and keep the
     same lines; a NULL text stays NULL.  All columns stay, ``n_chars`` follows
-    the text if it is there, and ``lines_dropped`` and ``lines_kept`` (without
-    blank ones) are added or replaced.
+    the text if it is there, and two counts are added, ``added`` by name: lines
+    dropped, and lines kept without blank ones.  A column of the caller's that has
+    such a name is an error, so name others then.
     """
-    names = [c for c in docs.columns if c not in ("lines_dropped", "lines_kept")]
-    docs = docs.select(*names)
+    clash = {c.lower() for c in docs.columns} & {c.lower() for c in added}
+    if clash:
+        raise ValueError(f"columns of these names are added: {sorted(clash)}")
+    names = docs.columns
     slim = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_th"), F.col("text").alias("_text"))
     lines = slim.transform(small_batches).mapInArrow(_lines, LINE_SCHEMA)
     distinct = stored(
@@ -278,7 +308,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         kept, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(th)), "left"
     )
     out = T.StructType(
-        [*docs.schema.fields, T.StructField("lines_dropped", T.IntegerType()), T.StructField("lines_kept", T.IntegerType())]
+        [*docs.schema.fields, *[T.StructField(c, T.IntegerType()) for c in added]]
     )
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +329,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array(sizes, pa.int64()).cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(
                 [*columns.values(), pa.array(dropped, pa.int32()), pa.array(left, pa.int32())],
-                [*columns, "lines_dropped", "lines_kept"],
+                [*columns, *added],
             )
 
     return joined.select(*names, mine).transform(small_batches).mapInArrow(rebuild, out)

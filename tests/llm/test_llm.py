@@ -484,12 +484,38 @@ def test_line_dedup_against_all_pairs(spark, docs, none):
     rows = [(r[0], r[1]) for r in awkward()[:-3]]
     table = spark.createDataFrame(awkward()[:-3], SCHEMA)
     got = {r["doc_id"]: r for r in lines.dedup_lines(table).collect()}
-    # Dropped lines count as earlier ones too, which no chain in these rows shows.
     assert {i: r["text"] for i, r in got.items()} == lines_brute(rows)
     assert all(r["text"] is None or r["n_chars"] == len(r["text"]) for r in got.values())
     assert lines.dedup_lines(docs).count() == len(awkward()) and lines.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_along_chains(spark):
+    """A line that went covers none: of prefixes one letter apart every other one stays."""
+    letters = "abcdefghijklmnopqrstuvwxyzäöüß0123456789"
+    chain = [letters[:n] for n in range(36, 21, -1)]
+    r = random.Random(4)
+    rows = [(0, "\n".join(chain))]
+    walk = list("the quick brown fox jumps over it")
+    for i in range(1, 40):
+        k = r.randrange(len(walk))
+        walk[k : k + r.choice([0, 1])] = r.choice("xyz")
+        rows.append((i, "".join(walk) + "\n" + "".join(r.choice("ab") for _ in range(21))))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(table).collect()}
+    assert got == lines_brute(rows)
+    assert got[0] == "\n".join(chain[::2])
+
+
+def test_line_dedup_names_its_columns(spark):
+    rows = [(1, "a line of text that is long", 7, "k"), (2, "a line of text that is long", 8, "k")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lines_kept int, _first string")
+    with pytest.raises(ValueError):
+        lines.dedup_lines(table)
+    got = lines.dedup_lines(table, ("gone", "left"))
+    assert got.columns == ["doc_id", "text", "lines_kept", "_first", "gone", "left"]
+    assert sorted(map(tuple, got.collect())) == [(1, rows[0][1], 7, "k", 0, 1), (2, "", 8, "k", 1, 0)]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("ab ", min_size=0, max_size=8), st.text("ab ", min_size=0, max_size=8))
 def test_edit_distance_of_one(a, b):

@@ -30,8 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; a document of which
     nothing but blank lines is left goes, one that was so before stays."""
-    found = lines.dedup_lines(docs)
-    return found.where((F.col("lines_kept") > 0) | (F.col("lines_dropped") == 0)).select(*docs.columns)
+    dropped, left = free(docs, "lines_dropped"), free(docs, "lines_kept")
+    found = lines.dedup_lines(docs, (dropped, left))
+    return found.where((F.col(left) > 0) | (F.col(dropped) == 0)).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

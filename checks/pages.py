@@ -18,7 +18,7 @@ from fleetboard.plans import (
 )
 from fleetboard.schema import TRIP
 from fleetboard.session import work_path
-from fleetboard.sources import read_csv_inferred, read_label_value_csv, read_tables
+from fleetboard.sources import column_ends, read_csv_inferred, read_label_value_csv, read_tables
 
 from . import reports
 from .adapter import star, table
@@ -271,3 +271,24 @@ def stored_report(spark, folder):
     for _ in range(2):
         rows = store.run("trips_per_boat", star(spark, folder), dashboard="activity", **reports.H1)
     return rows
+
+
+ENDS = ("l_quantity", "l_extendedprice", "l_linenumber", "l_orderkey")
+
+
+def _ends_sql(where: str = "") -> str:
+    return " union all ".join(
+        f"select '{c}' as \"column\", min({c})::double as lo, max({c})::double as hi, count({c}) as n from lineitem {where}" for c in ENDS
+    )
+
+
+@query(_ends_sql())
+def column_ends_footers(spark, folder):
+    """Ends and counts of whole columns, from the footers of the files."""
+    return column_ends(spark, f"{folder}/lineitem.parquet", ENDS)
+
+
+@query(_ends_sql("where l_discount > 0.05"))
+def column_ends_filtered(spark, folder):
+    """The same under a filter, which footers know nothing of."""
+    return column_ends(spark, f"{folder}/lineitem.parquet", ENDS, F.col("l_discount") > 0.05)

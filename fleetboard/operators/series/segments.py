@@ -76,8 +76,8 @@ def range_slice(points: DataFrame, lo, hi, span_gaps: bool = False, series: Data
     the strips it adds, and its bounds compare the bare column, so what is read
     follows from the range and its surroundings, not from the length of the history.
     Only after ``SEARCHES`` of them, for series that begin late or end early, is the
-    rest of the history looked through.  ``series`` may name all of them (a frame
-    with that column); otherwise they are taken from that column alone of all
+    rest of the history looked through.  ``series`` may name those to search for (a
+    frame with that column); otherwise they are taken from that column alone of all
     points.  Of points at the same nearest x the one next to the range by ``id`` is
     taken.
     """
@@ -88,7 +88,8 @@ def range_slice(points: DataFrame, lo, hi, span_gaps: bool = False, series: Data
     drawn = points.filter(y.isNotNull() & ~F.isnan(y)) if span_gaps else points
     named = (drawn if series is None else series).select("series").distinct()
     nothing = F.lit(None).cast(kind)
-    state = named.select("series", nothing.alias("below"), nothing.alias("above"), F.lit(False).alias("met"))
+    none = {"below": nothing, "above": nothing, "met": F.lit(False), "named": F.lit(True)}
+    state = named.select("series", *[c.alias(n) for n, c in none.items()])
     strips = _strips(points, lo, hi)
     first, last = lo, hi
     for search in range(len(strips) + 1):
@@ -99,13 +100,14 @@ def range_slice(points: DataFrame, lo, hi, span_gaps: bool = False, series: Data
         else:
             band = (x < first) | (x > last) if search else F.lit(True)
             first = last = None
-        more = _found(drawn, lo, hi, within, band)
+        more = _found(drawn, lo, hi, within, band).withColumn("named", F.lit(False))
         state = checkpoint(
             state.unionByName(more).groupBy("series").agg(
-                F.max("below").alias("below"), F.min("above").alias("above"), F.bool_or("met").alias("met")
+                F.max("below").alias("below"), F.min("above").alias("above"),
+                F.bool_or("met").alias("met"), F.bool_or("named").alias("named"),
             )
-        )
-        missing = F.count_if(F.col("below").isNull() | F.col("above").isNull())
+        )
+        missing = F.count_if(F.col("named") & (F.col("below").isNull() | F.col("above").isNull()))
         size = F.sum(F.octet_length(F.to_json(F.struct(*state.columns))))
         left, rows, bytes_ = state.agg(missing, F.count("*"), size).first()
         if not left:
@@ -127,6 +129,7 @@ def range_slice(points: DataFrame, lo, hi, span_gaps: bool = False, series: Data
 
 def is_sorted(points: DataFrame, position: str = "id", group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per series, whether x never falls and is never NULL in ``position`` order."""
-    before = in_order(points, ["series"], [position], group_rows).neighbour({"_px": "x"}).rows()
+    asked = points.select(*dict.fromkeys(["series", "x", position]))
+    before = in_order(asked, ["series"], [position], group_rows).neighbour({"_px": "x"}).rows()
     bad = F.col("x").isNull() | F.coalesce(F.col("x") < F.col("_px"), F.lit(False))
     return before.groupBy("series").agg((~F.bool_or(bad)).alias("sorted"))

@@ -204,7 +204,7 @@ def smallest_step(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     spans = points.groupBy(*keys).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"), F.count("*").alias("_n"))
     spans = checkpoint(spans)
     placed = attach(points, spans, keys)
-    share = F.least(F.lit(1.0), F.lit(2.0) / F.sqrt("_n"))
+    share = F.least(F.lit(1.0), F.try_divide(F.lit(2.0), F.sqrt("_n")))
     chosen = placed.filter(F.shiftrightunsigned(F.xxhash64("_at", F.lit(3)), 33) < share * 2**31)
     sampled = chosen.groupBy(*keys).agg(F.sort_array(F.collect_set("_at")).alias("s"))
     widths = sampled.select(*keys, F.array_min(_gaps(F.col("s"))).alias("_w"))

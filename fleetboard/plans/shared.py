@@ -14,6 +14,7 @@ prune it to its own columns and read the trips again.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
 
@@ -262,10 +263,14 @@ def limited_reports(
     needed: dict[tuple[str, bool], set[str]] = {}
     for key, rewrite in rewrites.items():
         needed.setdefault((rewrite.grain, found[key].dated), set()).update(rewrite.measures)
-    states = {
-        (grain, dated): checkpoint(summary(tables, grain, tuple(measures), *((start, end) if dated else (None, None))))
-        for (grain, dated), measures in needed.items()
-    }
+
+    def made(of: tuple[str, bool]) -> DataFrame:
+        dates = (start, end) if of[1] else (None, None)
+        return checkpoint(summary(tables, of[0], tuple(needed[of]), *dates))
+
+    # Beside each other, so that the last tasks of one leave no executor idle.
+    with ThreadPoolExecutor(max(1, len(needed))) as pool:
+        states = dict(zip(needed, pool.map(made, needed), strict=True))
     out = {}
     for key, report in found.items():
         if key in rewrites:

@@ -6,6 +6,8 @@ from fleetboard.plans import metric_by_date, series_by_position, two_metrics
 from fleetboard.session import checkpoint_dir
 from fleetboard.sources import (
     KeySpans,
+    by_footers,
+    column_ends,
     day_predicates,
     read_csv_inferred,
     read_label_value_csv,
@@ -122,3 +124,33 @@ def test_shared_folder_is_the_named_one(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         checkpoint_dir(Session())
+
+
+def test_ends_come_from_footers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = f"{tmp_path}/t.parquet"
+    rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, null, cast(id as int)) as a", "id / 7 as b", "date_add(date'2024-01-01', cast(id as int)) as d")
+    rows.repartition(3).write.parquet(path)
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    with by_footers(spark):
+        plan = spark.read.parquet(path).agg(F.min("a"), F.max("b"), F.count("a"))._jdf.queryExecution().executedPlan().toString()
+        assert "PushedAggregation: [MIN(a), MAX(b), COUNT(a)]" in plan
+        plan = spark.read.parquet(path).filter("b > 3").agg(F.min("a"))._jdf.queryExecution().executedPlan().toString()
+        assert "PushedAggregation: []" in plan
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    got = {r["column"]: tuple(r)[1:] for r in column_ends(spark, path, ["id", "a", "b"]).collect()}
+    assert got == {"id": (0.0, 999.0, 1000), "a": (1.0, 998.0, 666), "b": (0.0, 999 / 7, 1000)}
+    some = {r["column"]: tuple(r)[1:] for r in column_ends(spark, path, ["a"], F.col("id") > 900).collect()}
+    assert some == {"a": (901.0, 998.0, 66)}
+
+
+def test_ends_where_footers_cannot_tell(spark, tmp_path):
+    rows = [(1.0, None, float("nan"), 1.0), (2.0, None, 5.0, float("inf")), (None, None, -1.0, 2.0)]
+    path = f"{tmp_path}/odd.parquet"
+    spark.createDataFrame(rows, "a double, b double, c double, d double").coalesce(1).write.parquet(path)
+    got = {r["column"]: tuple(r)[1:] for r in column_ends(spark, path, ["a", "b", "c", "d"]).collect()}
+    assert got == {"a": (1.0, 2.0, 2), "b": (None, None, 0), "c": (-1.0, 5.0, 3), "d": (1.0, 2.0, 3)}
+    none = f"{tmp_path}/none.parquet"
+    spark.createDataFrame([], "a double").write.parquet(none)
+    assert [tuple(r) for r in column_ends(spark, none, ["a"]).collect()] == [("a", None, None, 0)]

@@ -5,8 +5,7 @@ and rows follow from the wanted recall at the threshold; classes meet on band
 hashes, and what met in a band is verified on the full shingle sets.  Verifying
 goes by blocks of texts of bounded size: the texts that a text met name the
 smallest of them, texts of one such name are one block (or several, dealt by
-hash), and two blocks are a task if a bucket holds texts of both, with just those
-texts of each.  So a bucket never makes pairs, false candidates tie no clusters
+hash), and two blocks are a task if a bucket holds texts of both.  So a bucket never makes pairs, false candidates tie no clusters
 together, and a task gives a row per text, not per pair.  Only ids are shuffled
 until then; of the documents only those that met another are read again.
 """
@@ -169,9 +168,8 @@ class Joined:
 
 
 def _meetings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members, the classes that met another in a band, with their block; and
-    (_i, _j, _id), the tasks: members of the blocks i and j that met one of the
-    other block (of their own where i is j)."""
+    """Members, the classes that met another in a band, with their block; and the
+    tasks (_i, _j, _id, _b): the members of every two blocks that share a bucket."""
     keyed = classes.select("_id", F.explode("_bands").alias("_band"))
     buckets = keyed.groupBy("_band").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
     met = stored(keyed.join(buckets.select("_band", "_low"), "_band"), "meetings")
@@ -185,10 +183,12 @@ def _meetings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         "_id", F.col("_first._doc").alias("_d"), F.col("_first._th").alias("_t"), F.xxhash64("_home", dealt).alias("_b")
     )
     members = stored(members, "members")
-    placed = met.join(members.select("_id", "_b"), "_id").select("_band", "_id", "_b")
-    beside = placed.select("_band", F.col("_b").alias("_o")).distinct()
-    tasks = placed.join(beside, "_band").select(F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_id", "_b")
-    return members, tasks.distinct()
+    # Blocks that share a bucket, then the texts of both: no row of a text per bucket.
+    beside = met.join(members.select("_id", "_b"), "_id").select("_band", "_b").distinct()
+    other = beside.select("_band", F.col("_b").alias("_o"))
+    pairs = beside.join(other, "_band").where("_b <= _o").select(F.col("_b").alias("_i"), F.col("_o").alias("_j")).distinct()
+    sides = pairs.select("_i", "_j", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_b"))
+    return members, sides.join(members.select("_id", "_b"), "_b").select("_i", "_j", "_id", "_b")
 
 
 def _texts_of(slim: DataFrame, members: DataFrame) -> DataFrame:

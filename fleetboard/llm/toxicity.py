@@ -29,7 +29,7 @@ MOST_STEMS = 5_000  # size of the lexicon, the strongest stems first
 SURE = 0.9  # share of a stem's documents that must carry the label
 STEMS = (4, 5, 6)  # bytes of a word's start that are its features
 LETTERS = 64  # codes of the letter model: 0 is a word's edge
-LONGEST = 40  # characters of a token that is decoded
+KEPT = 1 << 20  # characters of decoded tokens that a task remembers
 # What a sign may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -100,32 +100,65 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+# A text from its last letter back: what is before it, that letter, the length.
+# Texts that go on from the same one share it, so a step costs the same however long they are.
+_Text = tuple["_Text | None", str, int]
+
+
+def _before(one: _Text, two: _Text) -> bool:
+    """Whether text ``one`` sorts before ``two``; only the letters after what they share are read."""
+    shorter = one[2] < two[2]
+    while one[2] > two[2]:
+        one = one[0]
+    while two[2] > one[2]:
+        two = two[0]
+    while one is not two:
+        if one[1] != two[1]:
+            shorter = one[1] < two[1]
+        one, two = one[0], two[0]
+    return shorter
+
+
 def decode(token: str, lm: np.ndarray) -> str:
     """The likeliest letters behind a token.
 
     Each character is a letter kept, a look-alike swapped for what it may stand
     for, a separator dropped, or a repeat of the letter before it, kept or
-    dropped.  Ties go to the text that sorts first.
+    dropped.  Ties go to the text that sorts first.  Time and memory grow with
+    the token's length, which has no bound.
     """
     # (two letter codes, last letter) -> (cost, text)
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    states: dict[tuple[int, int, str], tuple[float, _Text]] = {(0, 0, ""): (0.0, (None, "", 0))}
     for ch in token:
         options = [(c, COST["swap"]) for c in LOOKALIKES.get(ch, "")]
         if ch.isalpha():
             options.append((ch, COST["keep"]))
-        nxt: dict[tuple[int, int, str], tuple[float, str]] = {}
+        nxt: dict[tuple[int, int, str], tuple[float, _Text]] = {}
         for (a, b, last), (cost, text) in states.items():
-            moves = [((b, letter_code(c), c), cost + extra - float(lm[a, b, letter_code(c)]), text + c) for c, extra in options]
+            moves = [
+                ((b, letter_code(c), c), cost + extra - float(lm[a, b, letter_code(c)]), (text, c, text[2] + 1))
+                for c, extra in options
+            ]
             if any(c == last for c, _ in options):
                 moves.append(((a, b, last), cost + COST["drop"], text))
             if ch in SEPARATORS or not options:
                 moves.append(((a, b, last), cost + COST["separator"], text))
             for state, total, word in moves:
-                if state not in nxt or (total, word) < nxt[state]:
+                old = nxt.get(state)
+                if old is None or total < old[0] or total == old[0] and _before(word, old[1]):
                     nxt[state] = (total, word)
         states = nxt
     ends = [(cost - float(lm[a, b, 0]), text) for (a, b, _), (cost, text) in states.items()]
-    return min(ends)[1]
+    least = min(cost for cost, _ in ends)
+    return min(_spelled(text) for cost, text in ends if cost == least)
+
+
+def _spelled(text: _Text) -> str:
+    letters = []
+    while text[0] is not None:
+        letters.append(text[1])
+        text = text[0]
+    return "".join(reversed(letters))
 
 
 def _flags(chars: str) -> np.ndarray:
@@ -143,7 +176,8 @@ _EDGE = ".,;:!?\"'()[]{}*#%&|-_~/"
 
 def suspects(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
     """(text, token) of what shows traces of a disguise in lower-case texts: signs
-    among letters, a letter three times, or four and more letters set apart."""
+    among letters, a letter three times, or four and more letters set apart.
+    Tokens and rows of letters are taken whole, however long."""
     start, end, per = K.word_spans(data, offs)
     if not len(start):
         return []
@@ -161,18 +195,22 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
     thrice[2:] = letter[2:] & (data[2:] < 128) & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
     marks = np.concatenate(([0], np.cumsum(inner | thrice)))
     size = end - start
-    odd = (marks[end] > marks[start]) & (letters > 0) & (size >= 3) & (size <= 4 * LONGEST)
+    odd = (marks[end] > marks[start]) & (letters > 0) & (size >= 3)
     text_of = np.repeat(np.arange(len(offs) - 1), np.diff(per))
     out = []
     for i in np.flatnonzero(odd):
         word = bytes(data[start[i] : end[i]]).decode("utf-8", "replace")
         core = word.strip(_EDGE)
-        while len(core) > 2 and core[-1] == core[-2] and core[-1] in "$@+":
-            core = core[:-1].rstrip(core[-1])
+        stop = len(core)
+        while stop > 2 and core[stop - 1] == core[stop - 2] and core[stop - 1] in "$@+":
+            sign = core[stop - 1]
+            while stop and core[stop - 1] == sign:
+                stop -= 1
+        core = core[:stop]
         plain = sum(c.isalpha() for c in core)
         if core.isalpha() and not any(core[k] == core[k + 1] == core[k + 2] for k in range(len(core) - 2)):
             continue
-        if len(core) <= LONGEST and plain and 3 * plain >= len(core):
+        if plain and 3 * plain >= len(core):
             out.append((int(text_of[i]), core))
     # Single characters in a row.
     single = (size <= 2) & (letters == size) & ((size == 1) | (data[start] >= 0xC0)) | (size == 1) & _SIGN[data[start]]
@@ -182,9 +220,8 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
     for a, b in zip(run_start, run_end, strict=True):
         if b - a < 4:
             continue
-        for k in range(a, b, LONGEST):
-            chars = bytes(data[start[k] : end[min(k + LONGEST, b) - 1]]).decode("utf-8", "replace").split()
-            out.append((int(text_of[a]), "".join(chars)))
+        chars = bytes(data[start[a] : end[b - 1]]).decode("utf-8", "replace").split()
+        out.append((int(text_of[a]), "".join(chars)))
     return out
 
 
@@ -203,13 +240,19 @@ class Reader:
     def __init__(self, lm: np.ndarray):
         self.lm = lm
         self.known: dict[str, str] = {}
+        self.size = 0
 
     def restored(self, token: str) -> str:
-        if token not in self.known:
-            if len(self.known) > 50_000:
+        word = self.known.get(token)
+        if word is None:
+            word = decode(token, self.lm)
+            if self.size + len(token) > KEPT:
                 self.known.clear()
-            self.known[token] = decode(token, self.lm)
-        return self.known[token]
+                self.size = 0
+            if len(token) <= KEPT:
+                self.known[token] = word
+                self.size += len(token)
+        return word
 
     def features(self, lower: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(text, stem) pairs of lower-case texts, a run of texts at a time."""

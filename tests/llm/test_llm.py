@@ -415,6 +415,52 @@ def test_toxicity_finds_disguised_words(spark, docs, none):
     assert toxicity.score(docs, empty, lm).count() == len(awkward()) and toxicity.score(none, lexicon, lm).count() == 0
 
 
+def plain_decode(token: str, lm) -> str:
+    """The same lattice with whole texts carried along, for short tokens."""
+    C = toxicity.COST
+    states = {(0, 0, ""): (0.0, "")}
+    for ch in token:
+        options = [(c, C["swap"]) for c in toxicity.LOOKALIKES.get(ch, "")] + ([(ch, C["keep"])] if ch.isalpha() else [])
+        ways = []
+        for (a, b, last), (cost, text) in states.items():
+            for c, extra in options:
+                code = toxicity.letter_code(c)
+                ways.append(((b, code, c), (cost + extra - float(lm[a, b, code]), text + c)))
+            if last in [c for c, _ in options]:
+                ways.append(((a, b, last), (cost + C["drop"], text)))
+            if ch in toxicity.SEPARATORS or not options:
+                ways.append(((a, b, last), (cost + C["separator"], text)))
+        states = {state: min(w for s, w in ways if s == state) for state, _ in ways}
+    return min((cost - float(lm[a, b, 0]), text) for (a, b, _), (cost, text) in states.items())[1]
+
+
+def test_tokens_are_decoded_like_whole_texts():
+    counts = np.random.default_rng(5).integers(0, 40, (toxicity.LETTERS,) * 3).astype(float)
+    rng = random.Random(5)
+    for lm in (toxicity.language_model(counts), np.full(counts.shape, -1.0, dtype=np.float32)):  # chance, and all ties
+        for _ in range(150):
+            token = "".join(rng.choice("aab11il.-#") for _ in range(rng.randint(1, 40)))
+            assert toxicity.decode(token, lm) == plain_decode(token, lm)
+        assert len(toxicity.decode("s3a-" * 50_000, lm)) > 100_000  # whole texts would copy 10 GB
+
+
+def test_no_token_is_too_long_to_be_restored(spark):
+    rows, marks = train_rows()
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    lm = toxicity.language_model(toxicity.count_letters(table))
+    lexicon = toxicity.learn(table, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), "toxic", F.lit(True), lm)
+    tail = "-".join(["stone"] * 40)
+    test = [(0, f"sea gru.m.pf-{tail}"), (1, f"sea {' '.join('grumpf' + 'stone' * 40)}"), (2, f"sea {tail}"), (3, f"sea {'.'.join(tail)}")]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(test, "doc_id long, text string"), lexicon, lm).collect()}
+    assert got[0] >= 0.3 and got[1] >= 0.3 and got[2] < 0.3 and got[3] < 0.3
+    spaced = np.frombuffer(" ".join("sea" * 30).encode(), dtype=np.uint8)
+    assert toxicity.suspects(spaced, np.array([0, len(spaced)])) == [(0, "sea" * 30)]
+    signs = np.frombuffer(b"ab4" + b"$$++" * 100_000, dtype=np.uint8)
+    assert toxicity.suspects(signs, np.array([0, len(signs)])) == [(0, "ab4")]
+
+
 def test_letters_are_counted_like_one_at_a_time(spark):
     got = toxicity.count_letters(spark.createDataFrame([("Ab c",), (None,), ("",), ("b1é",)], "text string"))
     expected: dict = {}

@@ -14,7 +14,7 @@ from fleetboard.operators.filters import Day, day_clauses
 from fleetboard.schema import Tables
 
 from .reports import DASHBOARDS
-from .shared import limited_reports
+from .shared import kept, limited_reports
 
 
 def _limited(dashboard: str, tables: Tables, start: Day, end: Day, shared: bool) -> dict[str, DataFrame]:
@@ -34,17 +34,6 @@ def run_dashboard(
     return {key: DASHBOARDS[dashboard][key].shown(df) for key, df in rows.items()}
 
 
-@contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """``df`` stored while in use, for a result that feeds several outputs.  What
-    does not fit in memory goes to disk; a lost executor's part is recomputed."""
-    stored = df.persist()
-    try:
-        yield stored
-    finally:
-        stored.unpersist()
-
-
 @contextmanager
 def open_dashboard(
     dashboard: str,

@@ -9,12 +9,17 @@ rewrite from a summary, which is small, to its rows.
 
 A summary is written down before it is used: without that, every report would
 prune it to its own columns and read the trips again.
+
+The trips themselves may come from a join of tables that both grow.  So grains of
+the same trips do not each make them: one copy, of the columns that they add up, is
+kept while their summaries are made.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
 from functools import partial
 
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 
 from fleetboard.functions import full_name, hour_label, month_label, null_if_blank, percent, ratio, seconds_between
 from fleetboard.operators import relational as rel
-from fleetboard.operators.filters import Day, date_range
+from fleetboard.operators.filters import Day, as_day, date_range
 from fleetboard.schema import SAFETY_CHECKS, Tables
 from fleetboard.session import checkpoint
 
@@ -34,37 +39,36 @@ from . import reports as R
 
 @dataclass(frozen=True)
 class Grain:
-    """Trips that count, and the columns they are added up by."""
+    """Columns that trips are added up by, which of the trips count, and the column
+    whose days the bounds are on.  ``reads`` are the columns behind all that."""
 
-    trips: Callable[[Tables, Day, Day], DataFrame]
     keys: Callable[[], list[Column]]
+    reads: tuple[str, ...]
+    where: str | None = None
+    day: str = "departure"
 
-
-def _departed(t: Tables, start: Day, end: Day) -> DataFrame:
-    return date_range(t.trip, "departure", start, end)
-
-
-def _cancelled(t: Tables, start: Day, end: Day) -> DataFrame:
-    trips = date_range(t.trip, "datecancelled", start, end)
-    return trips.filter(F.col("datecancelled").isNotNull() & F.col("driverid").isNotNull())
+    def trips(self, t: Tables, start: Day, end: Day) -> DataFrame:
+        trips = date_range(t.trip, self.day, start, end)
+        return trips if self.where is None else trips.filter(self.where)
 
 
-def _where(condition: str) -> Callable[[Tables, Day, Day], DataFrame]:
-    return lambda t, start, end: _departed(t, start, end).filter(condition)
-
-
-def _key(name: str) -> Callable[[], list[Column]]:
-    return lambda: [F.col(name)]
+def _per(name: str, where: str | None = None) -> Grain:
+    return Grain(lambda: [F.col(name)], (name,), where)
 
 
 GRAINS = {
-    "time": Grain(_departed, lambda: [F.to_date("departure").alias("day"), F.hour("departure").alias("hour")]),
-    "boat": Grain(_departed, _key("boatid")),
-    "driver": Grain(_where("driverid is not null"), _key("driverid")),
-    "cancelled": Grain(_cancelled, _key("driverid")),
-    "inspector": Grain(_where("inspectedby != 0"), _key("inspectedby")),
-    "tour": Grain(_where("islandtourtype != ''"), _key("islandtourtype")),
-    "status": Grain(_where(f"status != '{R.SEED_STATUS}'"), _key("status")),
+    "time": Grain(lambda: [F.to_date("departure").alias("day"), F.hour("departure").alias("hour")], ("departure",)),
+    "boat": _per("boatid"),
+    "driver": _per("driverid", "driverid is not null"),
+    "cancelled": Grain(
+        lambda: [F.col("driverid")],
+        ("driverid", "datecancelled"),
+        "datecancelled is not null and driverid is not null",
+        "datecancelled",
+    ),
+    "inspector": _per("inspectedby", "inspectedby != 0"),
+    "tour": _per("islandtourtype", "islandtourtype != ''"),
+    "status": _per("status", f"status != '{R.SEED_STATUS}'"),
 }
 
 # -- what is added up -----------------------------------------------------------------
@@ -100,6 +104,23 @@ for _check in SAFETY_CHECKS:
     }
 AMOUNT = "amount"  # the exact sum of boatamount, in its parts
 
+# The columns that each measure reads.
+READS: dict[str, tuple[str, ...]] = {
+    AMOUNT: ("boatamount",),
+    "trips": (),
+    "real_trips": ("driverid", "status"),
+    "amounts": ("boatamount",),
+    "pax": ("noofpassengers",),
+    "pax_n": ("noofpassengers",),
+    "paid": ("ispaid",),
+    "unpaid": ("ispaid",),
+    "seconds": ("departure", "arrival"),
+    "timed": ("departure", "arrival"),
+}
+for _check in SAFETY_CHECKS:
+    READS |= {f"{_check}_{x}": (_check,) for x in ("sum", "n")}
+    READS |= {f"real_{_check}_{x}": (_check, "status") for x in ("sum", "n")}
+
 
 def summary(t: Tables, grain: str, measures: Sequence[str], start: Day = None, end: Day = None) -> DataFrame:
     """One row per key of the grain with the measures asked for."""
@@ -250,27 +271,58 @@ REWRITES: dict[str, dict[str, Rewrite]] = {
 }
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` stored while in use, for a result that feeds several outputs.  What
+    does not fit in memory goes to disk; a lost executor's part is recomputed."""
+    stored = df.persist()
+    try:
+        yield stored
+    finally:
+        stored.unpersist()
+
+
+def _summaries(
+    t: Tables, needed: dict[tuple[str, bool], set[str]], start: Day, end: Day
+) -> dict[tuple[str, bool], DataFrame]:
+    """The summary of every (grain, dated) with the measures it needs, written."""
+    same: dict[tuple[str | None, bool], list[tuple[str, bool]]] = {}
+    for grain, dated in needed:
+        bounded = dated and bool(as_day(start) or as_day(end))
+        same.setdefault((GRAINS[grain].day if bounded else None, dated), []).append((grain, dated))
+    with ExitStack() as stack:
+        source = {}
+        for (day, _), grains in same.items():
+            trips = t.trip if day is None else date_range(t.trip, day, start, end)
+            if len(grains) > 1:
+                reads = {c for of in grains for c in (*GRAINS[of[0]].reads, *(c for m in needed[of] for c in READS[m]))}
+                trips = stack.enter_context(kept(trips.select(*[c for c in t.trip.columns if c in reads])))
+                # Filled by one job; the summaries beside each other would each begin to.
+                trips.count()
+            source |= dict.fromkeys(grains, Tables(trips, t.boat, t.driver))
+
+        def made(of: tuple[str, bool]) -> DataFrame:
+            return checkpoint(summary(source[of], of[0], tuple(needed[of])))
+
+        # Beside each other, so that the last tasks of one leave no executor idle.
+        with ThreadPoolExecutor(max(1, len(needed))) as pool:
+            return dict(zip(needed, pool.map(made, needed), strict=True))
+
+
 def limited_reports(
     dashboard: str, tables: Tables, start: Day = None, end: Day = None, keys: Sequence[str] | None = None
 ) -> dict[str, DataFrame]:
     """The reports ``keys`` of a dashboard, or all, with their sort keys, cut where one has a limit.
 
-    Each grain's trips are read once, in a job of its own that writes the summary;
-    reports without a rewrite read dimensions only.
+    Grains of the same trips share one copy of them, and each writes its summary in
+    a job of its own; reports without a rewrite read dimensions only.
     """
     found = {k: r for k, r in R.DASHBOARDS[dashboard].items() if keys is None or k in keys}
     rewrites = {k: r for k, r in REWRITES[dashboard].items() if k in found}
     needed: dict[tuple[str, bool], set[str]] = {}
     for key, rewrite in rewrites.items():
         needed.setdefault((rewrite.grain, found[key].dated), set()).update(rewrite.measures)
-
-    def made(of: tuple[str, bool]) -> DataFrame:
-        dates = (start, end) if of[1] else (None, None)
-        return checkpoint(summary(tables, of[0], tuple(needed[of]), *dates))
-
-    # Beside each other, so that the last tasks of one leave no executor idle.
-    with ThreadPoolExecutor(max(1, len(needed))) as pool:
-        states = dict(zip(needed, pool.map(made, needed), strict=True))
+    states = _summaries(tables, needed, start, end)
     out = {}
     for key, report in found.items():
         if key in rewrites:

@@ -7,6 +7,7 @@ import pytest
 from checks.adapter import star
 from fleetboard.operators import relational as rel
 from fleetboard.plans import DASHBOARDS, open_dashboard, run_dashboard, shared, stacked_dashboard
+from fleetboard.schema import Tables
 
 from . import fixtures
 
@@ -94,3 +95,36 @@ def test_parts_of_groups_add_up(spark):
     whole = parts.agg(*[F.sum(p).alias(p) for p in rel.PARTS])
     total = whole.select(rel.exact_total({p: F.col(p) for p in rel.PARTS}, df.schema["amount"].dataType)).first()[0]
     assert total == sum((r["amount"] for r in df.collect()), Decimal(0))
+
+
+def test_grains_of_the_same_trips_share_one_copy(spark, monkeypatch):
+    """A row of the trips is made once, however many grains add it up."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    plain = fixtures.star(spark)
+    tables = Tables(plain.trip.mapInArrow(seen, plain.trip.schema), plain.boat, plain.driver)
+    kept = []
+    keep = shared.kept
+    monkeypatch.setattr(shared, "kept", lambda df: kept.append(df) or keep(df))
+    n = plain.trip.count()
+    for dashboard in DASHBOARDS:
+        made.value = 0
+        frames = run_dashboard(dashboard, tables)
+        assert made.value == n
+        assert found(frames) == found(run_dashboard(dashboard, plain, shared=False))
+    # Bounds are on one column for some grains and on another for one.
+    made.value = 0
+    frames = run_dashboard("fleet", tables, "2026-01-01", "2026-01-31")
+    assert made.value == 2 * n
+    assert found(frames) == found(run_dashboard("fleet", plain, "2026-01-01", "2026-01-31", shared=False))
+    assert len(kept) == len(DASHBOARDS) + 1 and not any(df.storageLevel.useMemory for df in kept)
+    # One grain alone needs no copy, and no column that it does not add up.
+    some = shared.limited_reports("fleet", tables, keys=["top_drivers", "avg_speed_by_size"])
+    assert len(kept) == len(DASHBOARDS) + 1 and some["top_drivers"].count() > 0
+    assert not any("orderid" in df.columns for df in kept)
+    assert set(shared.READS) == {*shared.MEASURES, shared.AMOUNT}

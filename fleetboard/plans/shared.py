@@ -12,7 +12,8 @@ prune it to its own columns and read the trips again.
 
 The trips themselves may come from a join of tables that both grow.  So grains of
 the same trips do not each make them: one copy, of the columns that they add up, is
-kept while their summaries are made.
+kept while their summaries are made.  Where bounds hold for one table of the join, rows
+of the other that they rule out are dropped before the join shuffles them.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from fleetboard.functions import full_name, hour_label, month_label, null_if_bla
 from fleetboard.operators import relational as rel
 from fleetboard.operators.filters import Day, as_day, date_range
 from fleetboard.schema import SAFETY_CHECKS, Tables
-from fleetboard.session import checkpoint
+from fleetboard.session import checkpoint, pruned_joins
 
 from . import reports as R
 
@@ -291,6 +292,8 @@ def _summaries(
         bounded = dated and bool(as_day(start) or as_day(end))
         same.setdefault((GRAINS[grain].day if bounded else None, dated), []).append((grain, dated))
     with ExitStack() as stack:
+        if any(day is not None for day, _ in same):
+            stack.enter_context(pruned_joins(t.trip.sparkSession))
         source = {}
         for (day, _), grains in same.items():
             trips = t.trip if day is None else date_range(t.trip, day, start, end)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from checks.adapter import star
+from checks.adapter import SCHEMAS, star
+from fleetboard import session
 from fleetboard.operators import relational as rel
 from fleetboard.plans import DASHBOARDS, open_dashboard, run_dashboard, shared, stacked_dashboard
 from fleetboard.schema import Tables
@@ -128,3 +129,64 @@ def test_grains_of_the_same_trips_share_one_copy(spark, monkeypatch):
     assert len(kept) == len(DASHBOARDS) + 1 and some["top_drivers"].count() > 0
     assert not any("orderid" in df.columns for df in kept)
     assert set(shared.READS) == {*shared.MEASURES, shared.AMOUNT}
+
+
+def written_tables(spark, folder) -> Tables:
+    """Trips as a join of two files: orders of a year, some with their key twice or
+    without one, and lines, some without an order or a key."""
+    made = {
+        "orders": spark.range(2000).selectExpr(
+            "nullif(id % 1900, 7) as o_orderkey", "id as o_custkey", "if(id % 9 = 0, 'P', 'F') as o_orderstatus",
+            "0D as o_totalprice", "cast(date_add(date'2026-01-01', cast(id % 365 as int)) as timestamp_ntz) as o_orderdate",
+            "element_at(array('1-URGENT', '4-NOT SPECIFIED', '5-LOW'), cast(id % 3 as int) + 1) as o_orderpriority",
+        ),
+        "lineitem": spark.range(8000).selectExpr(
+            "nullif(id % 2100, 11) as l_orderkey", "id % 50 as l_partkey", "id % 20 as l_suppkey",
+            "cast(id % 7 + 1 as int) as l_linenumber", "cast(id % 40 as double) as l_quantity",
+            "cast(id as double) as l_extendedprice", "id % 9 / 100D as l_discount", "id % 7 / 100D as l_tax",
+            "if(id % 3 = 0, 'R', 'N') as l_returnflag", "'F' as l_linestatus",
+            "cast(date_add(date'2026-01-05', cast(id % 365 as int)) as timestamp_ntz) as l_shipdate",
+        ),
+        "part": spark.range(50).selectExpr(
+            "id as p_partkey", "'p' as p_name", "'b' as p_brand", "if(id % 2 = 0, 'SMALL', 'LARGE') as p_type",
+            "cast(id as int) as p_size", "cast(id as double) as p_retailprice",
+        ),
+        "supplier": spark.range(20).selectExpr(
+            "id as s_suppkey", "concat('Supplier#', id) as s_name", "1 as s_nationkey", "0D as s_acctbal"
+        ),
+    }
+    for name, df in made.items():
+        types = spark.createDataFrame([], SCHEMAS[name]).schema
+        df.select(*[df[f.name].cast(f.dataType) for f in types]).write.parquet(f"{folder}/{name}.parquet")
+    return star(spark, str(folder))
+
+
+def test_bounds_prune_the_join_of_the_trips(spark, tmp_path, monkeypatch):
+    """Rows of the unbounded table go before they are shuffled; the rows that stay are the same."""
+    tables = written_tables(spark, tmp_path)
+    plans = []
+    keep = shared.kept
+    # A plan is made when it is asked for, that is under the settings of the moment.
+    monkeypatch.setattr(shared, "kept", lambda df: plans.append(plan(df)) or keep(df))
+    # The files are small: nothing is broadcast, and no scan is too small to be pruned.
+    monkeypatch.setitem(session.PRUNED_JOINS, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    before = {name: spark.conf.get(name) for name in session.PRUNED_JOINS}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for dashboard, *days in (("fleet", "2026-02-01", "2026-03-31"), ("activity", None, "2026-01-20")):
+            plans.clear()
+            frames = run_dashboard(dashboard, tables, *days)
+            assert len(plans) == 1 and "might_contain" in plans[0]
+            assert {name: spark.conf.get(name) for name in before} == before
+            assert found(frames) == found(run_dashboard(dashboard, tables, *days, shared=False))
+        # Without bounds every key has its rows, and nothing is to be pruned.
+        plans.clear()
+        run_dashboard("fleet", tables)
+        assert len(plans) == 1 and "might_contain" not in plans[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    with pytest.raises(ZeroDivisionError), session.pruned_joins(spark):
+        assert {name: spark.conf.get(name) for name in before} == session.PRUNED_JOINS
+        1 / 0
+    assert {name: spark.conf.get(name) for name in before} == before
